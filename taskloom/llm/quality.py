@@ -169,6 +169,17 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
     return sorted(known, key=lambda x: -(x[2] + 1e-6) / max(x[1], 1e-12))
 
 
+def _verdict(c: Chunk, order: list[Rule]) -> np.ndarray:
+    """Which texts no rule rejects; each rule sees what the rules before it have kept."""
+    kept = ~c.base_failed
+    for rule in order:
+        rows = np.flatnonzero(kept)
+        if not len(rows):
+            break
+        kept[rows[rule.reject(c, rows)]] = False
+    return kept
+
+
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -179,12 +190,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, c in _chunks(batch):
-                kept = ~c.base_failed
-                for rule in order:
-                    rows = np.flatnonzero(kept)
-                    if not len(rows):
-                        break
-                    kept[rows[rule.reject(c, rows)]] = False
+                kept = _verdict(c, order)
                 columns = [batch.column(0).slice(lo, hi - lo), *(pa.array(getattr(c, n).astype(np.int64)) for n in _NAMES), pa.array(c.base_failed), pa.array(kept)]
                 columns += [batch.column(2 + k).slice(lo, hi - lo) for k in range(len(carry))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", *_NAMES, "base_failed", "kept", *(f"c{k}" for k in range(len(carry)))])
@@ -193,3 +199,17 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     kinds = [f.dataType.simpleString() for f in rows.schema]
     schema = f"id {kinds[0]}, {', '.join(f'{n} long' for n in _NAMES)}, base_failed boolean, kept boolean" + "".join(f", c{k} {t}" for k, t in enumerate(kinds[2:]))
     return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col} | {f"c{k}": n for k, n in enumerate(carry)})
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    order = [r for r, _, _ in plan(docs, rules, text_col)]
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            two = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["id", "text"])
+            kept = [_verdict(c, order) for _, _, c in _chunks(two)]
+            yield batch.filter(pa.array(np.concatenate([*kept, np.zeros(0, bool)])))
+
+    return docs.mapInArrow(run, docs.schema)

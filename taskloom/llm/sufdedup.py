@@ -157,8 +157,8 @@ def _expand(length: int):
     return run
 
 
-def _cut_out(length: int):
-    """(i, text, s, n) to the bytes that stay, their number and the number of spans."""
+def _cut_out(length: int, carry: int):
+    """(id, text, s, n, ...) to the bytes that stay, their number and the number of spans; the rest is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,20 +181,21 @@ def _cut_out(length: int):
                 size.append(len(own))
                 removed.append(len(own) - len(stays))
                 kept.append(stays)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["id0", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), *(batch.column(4 + k) for k in range(carry))], ["id0", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", *(f"c{k}" for k in range(carry))])
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """A row for each input row: the id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay), kept_sha256.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each input row: the id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay), kept_text (without code points that are cut through), kept_sha256, and the columns ``carry``.
 
     The id is taken as a long.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("id0"), text.alias("text"))
-    docs = docs.select("id0", F.coalesce("id0", F.lit(-1)).alias("id"), F.xxhash64("id0", "text").alias("x"), "text")
+    more = [f"c{k}" for k in range(len(carry))]
+    docs = docs.select(F.col(id_col).cast("long").alias("id0"), text.alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, more, strict=True)))
+    docs = docs.select("id0", F.coalesce("id0", F.lit(-1)).alias("id"), F.xxhash64("id0", "text").alias("x"), "text", *more)
     parts = store(docs.select("id", "x", "text").mapInArrow(_segment_rows(length), _SEGMENTS))
     grams = parts.groupBy("h").agg(F.count("*").alias("m"), F.min("ch").alias("a"), F.max("ch").alias("b"), F.max("f").alias("f"))
     grams = grams.where("m > 1 or f").select("h", (F.col("f") | (F.col("a") != F.col("b"))).alias("mixed"))
@@ -217,5 +218,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     spans = found.where("not mixed").select("id", "x", "s", "n").union(mixed.join(runs, ["h", "ch"]).select("id", "x", (F.col("s") + F.col("o")).alias("s"), F.col("c").alias("n")))
     spans = spans.groupBy("id", "x").agg(F.collect_list(F.struct("s", "n")).alias("r")).select("id", "x", F.col("r.s").alias("s"), F.col("r.n").alias("n"))
-    out = docs.join(spans, ["id", "x"], "left").select("id0", "text", "s", "n").mapInArrow(_cut_out(length), "id0 long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.withColumnRenamed("id0", id_col)
+    kinds = "".join(f", {n} {docs.schema[n].dataType.simpleString()}" for n in more)
+    out = docs.join(spans, ["id", "x"], "left").select("id0", "text", "s", "n", *more).mapInArrow(_cut_out(length, len(more)), f"id0 long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string{kinds}")
+    return out.withColumnsRenamed({"id0": id_col} | dict(zip(more, carry, strict=True)))
