@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch that goes to a Python worker.
 ARROW_ROWS = 1000
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings for the operators: small Arrow batches, and a checkpoint folder if none is set.
+    """Session settings for the operators: small Arrow batches, a checkpoint folder if none is set, and the package's
+    place for Python workers (on a cluster it is installed there or comes with --py-files).
 
     On a cluster ``spark.checkpoint.dir`` names a folder that all machines share and is used as it is;
     only where it is unset (tests, local mode) a temporary folder is made.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taskloom.llm import chat, decontam, html, jaccard, quality, sharding, spbpe, sufdedup, unigram, urlrules
 from taskloom.llm.common import table
+from taskloom.llm.oracle import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,9 +66,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-ORACLE_SQL: dict[str, str] = {}
-
-
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
