@@ -118,7 +118,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     spans = found.groupBy("id", "x").agg(F.max("words").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", (F.col("s") + F.col("n")).alias("e"))))).alias("r"), F.collect_set("win").alias("wins"))
     # each span adds what is past the furthest end so far
     covered = F.aggregate("r", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("sum")), lambda acc, r: F.struct(F.greatest(acc["end"], r["e"]).alias("end"), (acc["sum"] + F.greatest(r["e"] - F.greatest(r["s"], acc["end"]), F.lit(0))).alias("sum")), lambda acc: acc["sum"])
-    spans = spans.select("id", "x", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "wins")
+    spans = cut(spans.select("id", "x", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "wins"))
     hit = spans.where(F.size("wins") > 0).select("id", "x", F.explode("wins").alias("win"))
     by_item = hit.join(of, "win").select("id", "x", "item").distinct().groupBy("id", "x").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = spans.drop("wins").join(by_item.withColumnsRenamed({"id": "id1", "x": "x1"}), F.col("id").eqNullSafe(F.col("id1")) & F.col("x").eqNullSafe(F.col("x1")), "left")
