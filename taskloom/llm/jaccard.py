@@ -6,8 +6,8 @@ classes that link share an n-gram of their prefixes in this order, so the prefix
 them, the range of the n-grams is cut into fragments; each class has a segment in each fragment, the overlaps
 of the segments of a pair are counted for each fragment by itself, and their sum over the fragments decides.
 
-Components need no pair within what is already one component. So each prefix n-gram's first class, then two
-others drawn by hash, are verified against the rest; only the classes of an n-gram that are in different
+Components need no pair within what is already one component. So each prefix n-gram's first class, then one
+drawn by hash, are verified against the rest; only the classes of an n-gram that are in different
 components after that are paired with each other, all of them. No pair that could join components is left out.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Repeated rows have equal
@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm import kernel
-from taskloom.llm.common import chunks, cut, prepare, texts
+from taskloom.llm.common import chunks, cut, prepare, store, texts
 
-#: Prefix n-grams in at least so many classes make their documents' n-grams be counted.
+#: Prefix n-grams in at least so many classes are common: documents that have them get their n-grams counted. This
+#: only sets the order, so it changes the work but never the result.
 COMMON = 16
 #: An n-gram is counted if it is so near, in n-grams of the text, to one that is known to be common.
 NEAR = 48
-#: Of the n-grams in COMMON classes, so many (the most frequent) are moved to the end of the order at most: 8 MB.
+#: Of the common n-grams, so many (the most frequent) are moved to the end of the order at most: 8 MB.
 MOST_COMMON = 1 << 20
 #: Fragments of the n-gram order, a power of 2.
 FRAGMENTS = 8
@@ -85,7 +86,9 @@ def _batches(k: int, make: Callable, names: list[str], types: list[pa.DataType],
 
 
 def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which of x are in the sorted table (not empty)."""
+    """Which of x are in the sorted table."""
+    if not len(table):
+        return np.zeros(len(x), bool)
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
@@ -93,6 +96,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _most_common(counts: DataFrame) -> np.ndarray:
+    """The n-grams of stored counts (t, m), in order: all, or those over the count at which MOST_COMMON are left.
+
+    A histogram of the counts gives that count, so only the n-grams that are used come to the driver.
+    """
+    room, least = MOST_COMMON, None
+    for r in counts.groupBy("m").agg(F.count("*").alias("n")).orderBy(F.desc("m")).toLocalIterator():
+        room -= r.n
+        if room < 0:
+            break
+        least = r.m
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.where(F.col("m") >= least).select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(u, v) of undirected edges: (node, comp) of each node that isn't the smallest of its component.
 
@@ -140,14 +159,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch(s: np.ndarray) -> list[tuple]:
         return [(xxhash.xxh3_128_digest(s.tobytes()), len(s), _signed(s[: prefix_size(len(s), num, den)]) if len(s) else [])]
 
-    sketches = cut(docs.mapInArrow(_batches(k, sketch, ["c", "digest", "n", "prefix"], [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]), "c long, digest binary, n long, prefix array<long>"))
+    sketches = store(docs.mapInArrow(_batches(k, sketch, ["c", "digest", "n", "prefix"], [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]), "c long, digest binary, n long, prefix array<long>"))
     classes = sketches.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"))
-    reps = cut(sketches.join(classes, ["c", "digest"], "left_semi").select("c", "n", "prefix").dropDuplicates(["c"]))
+    reps = store(sketches.join(classes, ["c", "digest"], "left_semi").select("c", "n", "prefix").dropDuplicates(["c"]))
 
     # n-grams of the documents that share prefix n-grams with many, and how many classes have them
     exploded = reps.select("c", "n", F.posexplode("prefix").alias("i", "t"))
-    met = cut(exploded.groupBy("t").agg(F.count("*").alias("m")).where("m >= 2"))
-    first = np.sort(np.array([r.t for r in met.where(F.col("m") >= COMMON).orderBy(F.desc("m"), "t").limit(MOST_COMMON).toLocalIterator()], np.int64).view(np.uint64))
+    met = store(exploded.groupBy("t").agg(F.count("*").alias("m")).where("m >= 2"))
+    first = _most_common(met.where(F.col("m") >= COMMON))
     if len(first):
         share = spark.sparkContext.broadcast(first)
 
@@ -162,8 +181,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return [(_signed(np.unique(text[np.cumsum(close[:-1]) > 0])),)]
 
         counted = docs.mapInArrow(_batches(k, near, ["c", "all"], [pa.int64(), pa.list_(pa.int64())], text=True), "c long, all array<long>").select(F.explode("all").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") >= COMMON)
-        common = np.sort(np.array([r.t for r in counted.orderBy(F.desc("m"), "t").limit(MOST_COMMON).toLocalIterator()], np.int64).view(np.uint64))
-        last = spark.sparkContext.broadcast(common)
+        last = spark.sparkContext.broadcast(_most_common(store(counted)))
 
         def reorder(s: np.ndarray) -> list[tuple]:
             n = prefix_size(len(s), num, den) if len(s) else 0
@@ -175,21 +193,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return [(_signed(np.concatenate([s[~late], s[late]])[:n]),)]
 
         moved = docs.mapInArrow(_batches(k, reorder, ["c", "prefix"], [pa.int64(), pa.list_(pa.int64())]), "c long, prefix array<long>")
-        exploded = moved.join(reps.select("c", "n"), "c").select("c", "n", F.posexplode("prefix").alias("i", "t"))
+        reps = store(reps.select("c", "n").join(moved, "c").dropDuplicates(["c"]))
+        exploded = reps.select("c", "n", F.posexplode("prefix").alias("i", "t"))
         met = exploded.groupBy("t").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("t")
-    rows = cut(exploded.join(met.select("t"), "t", "left_semi").distinct())
+    rows = store(exploded.join(met.select("t"), "t", "left_semi"))
 
-    involved = cut(rows.select("c").distinct())
     shift = 64 - FRAGMENTS.bit_length() + 1
 
     def segments(s: np.ndarray) -> list[tuple]:
         cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(shift))
         return [(f, _signed(x)) for f, x in enumerate(np.split(s, cuts)) if len(x)]
 
-    parts = cut(only(docs, involved, "c").mapInArrow(_batches(k, segments, ["c", "f", "seg"], [pa.int64(), pa.int32(), pa.list_(pa.int64())]), "c long, f int, seg array<long>"))
-
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b, na, nb), the pairs that link, by the sum of the overlaps in the fragments."""
+        ids = cut(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
+        parts = only(docs, ids, "c").mapInArrow(_batches(k, segments, ["c", "f", "seg"], [pa.int64(), pa.int32(), pa.list_(pa.int64())]), "c long, f int, seg array<long>").dropDuplicates(["c", "f"])
         left, right = parts.select(F.col("c").alias("a"), "f", F.col("seg").alias("x")), parts.select(F.col("c").alias("b"), "f", F.col("seg").alias("y"))
         overlap = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
         return overlap.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -199,17 +217,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [F.least(c, d).alias("a"), F.greatest(c, d).alias("b"), F.when(F.col(c) < F.col(d), F.col(n)).otherwise(F.col(m)).alias("na"), F.when(F.col(c) < F.col(d), F.col(m)).otherwise(F.col(n)).alias("nb")]
 
     comp, tried = None, None
-    for salt in (None, 1, 2, -1):
+    for salt in (None, 1, -1):
         if comp is None:
             now = rows.withColumn("comp", F.col("c"))
         else:
             now = rows.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         order = F.col("c") if salt is None else F.xxhash64("c", "t", F.lit(salt))
-        head = now.groupBy("t").agg(F.min(F.struct(order.alias("o"), F.col("c").alias("c0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("comp").alias("comp0"))).alias("h"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("t", "h.c0", "h.n0", "h.i0", "h.comp0")
-        apart = now.join(head, "t").where("comp <> comp0")
+        # only n-grams of several components can join any
+        head = now.groupBy("t").agg(F.min(F.struct(order.alias("o"), F.col("c").alias("c0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("comp").alias("comp0"))).alias("h"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).where("x < y").select("t", "h.c0", "h.n0", "h.i0", "h.comp0", "least")
+        # the most that a class can have in common from its place on, with a partner of the best size that there is
+        most = F.col("n") - F.col("i")
+        met = now.join(head, "t").where(most * den >= (F.greatest(F.col("least"), most) + F.col("i")) * num).drop("least")
+        if comp is not None:
+            met = store(met)
+            rows = met.select("t", "c", "n", "i")
+        apart = met.where("comp <> comp0")
         if salt == -1:
-            apart = cut(apart)
-            other = now.join(head.select("t", "comp0"), "t").select("t", F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("comp2"), (F.col("comp") != F.col("comp0")).alias("out"))
+            other = met.select("t", F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("comp2"), (F.col("comp") != F.col("comp0")).alias("out"))
             pairs = apart.select("t", "c", "n", "i", "comp").join(other, "t").where((F.col("comp") != F.col("comp2")) & (~F.col("out") | (F.col("c") < F.col("d"))) & _possible("n", "i", "m", "j", num, den)).select(pair("c", "n", "d", "m"))
         else:
             pairs = apart.where(_possible("n", "i", "n0", "i0", num, den)).select(pair("c", "n", "c0", "n0"))

@@ -47,7 +47,7 @@ def test_components(small, k, num, den):
 
 
 def test_components_with_common_grams(small, monkeypatch):
-    monkeypatch.setattr(jaccard, "COMMON", (2, 2))
+    monkeypatch.setattr(jaccard, "COMMON", 2)
     found = sets(small.collect())
     expected = groups(found, 85, 100)
     assert {r.doc_id: r.component_id for r in jaccard.components(small).collect()} == expected
