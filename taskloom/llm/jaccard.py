@@ -187,9 +187,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = prefix_size(len(s), num, den) if len(s) else 0
             if not n:
                 return []
-            if not _among(s[:n], share.value).any():
-                return [(_signed(s[:n]),)]
-            late = _among(s, last.value)
+            late = _among(s, last.value)  # for every document: prefixes meet only in one order
             return [(_signed(np.concatenate([s[~late], s[late]])[:n]),)]
 
         moved = docs.mapInArrow(_batches(k, reorder, ["c", "prefix"], [pa.int64(), pa.list_(pa.int64())]), "c long, prefix array<long>")

@@ -1,10 +1,12 @@
 """Operators on documents against brute force, on odd and repeated rows and on empty tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,19 @@ def test_components_of_many_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard.components(df).collect()} == groups(sets(df.collect()), 85, 100)
 
 
+def test_components_of_exact_copies_with_a_phrase(spark):
+    """Near copies without a common phrase of texts that have it and many exact copies: the order is one for all."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    phrase = min((" ".join(word() for _ in range(4)) for _ in range(300)), key=lambda p: next(jaccard._sets(None, pa.array([p]), 4))[1][0])
+    texts = [" ".join([word(), word(), phrase, word(), word()]) for _ in range(20)]
+    for _ in range(8):
+        head, tail = (" ".join(word() for _ in range(60)) for _ in range(2))
+        texts += [f"{head} {phrase} {tail}"] * 17 + [f"{head} {tail}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard.components(df).collect()} == groups(sets(df.collect()), 85, 100)
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (7, 7)]
     got = {r.node: r.comp for r in jaccard.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
