@@ -2,7 +2,8 @@
 
 Each stage takes all rows that the one before has kept. The first four return the columns of ``documents``; the
 last returns the tokens. A stage's decisions take effect: rejected, duplicate and contaminated documents go, and
-repeated passages are cut out of the texts.
+repeated passages are cut out of the texts. A document is a distinct id and text: rows without an id are documents
+like any others, and so are the texts of one id, each by itself.
 """
 
 from __future__ import annotations
@@ -25,16 +26,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row stays.
 
-    Of rows with the same doc_id one stays.
+    It is that of the smallest doc_id; rows without an id come last, and texts of one id, or of none, are in the order
+    of their hash. Texts without words stay. Of rows with the same doc_id (or none) and the same text one stays, the
+    least by its other columns.
     """
-    found = jaccard.components(docs, k=5, num=80, den=100)
-    ids = cut(found.where("component_id = doc_id").select("doc_id").distinct())
-    kept = jaccard.only(docs.select(COLUMNS), ids, "doc_id")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    keys, repeated = jaccard.firsts(store(jaccard.linked(docs, k=5, num=80, den=100)))
+    kept = jaccard.only(docs.select(*COLUMNS, jaccard.row_key("doc_id", "text").alias("r")), keys, "r")
+    if repeated.isEmpty():
+        return kept.select(COLUMNS)
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    small = repeated.count() <= jaccard.BROADCAST_IDS
+    once = kept.join(F.broadcast(repeated) if small else repeated, "r", "left_anti").select(COLUMNS)
+    least = jaccard.only(kept, repeated, "r").groupBy("doc_id", "text").agg(F.min(F.struct(rest)).alias("rest"))
+    return once.unionByName(least.select("doc_id", "text", "rest.*"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +50,12 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of benchmark items go."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), min_items=1)
-    ids = cut(found.where("contaminated").select("doc_id").distinct())
-    small = ids.count() <= jaccard.BROADCAST_IDS
-    return docs.select(COLUMNS).join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    """Documents with a window of benchmark items go, each by its id (or none) and text."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), min_items=1, with_hash=True)
+    gone = cut(found.where("contaminated").select(F.col("doc_id").alias("id"), "text_hash").distinct())
+    small = gone.count() <= jaccard.BROADCAST_IDS
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("text_hash"))
+    return docs.select(COLUMNS).join(F.broadcast(gone) if small else gone, same, "left_anti")
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,9 +75,10 @@ def windows(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return each.select("win", "h", "n").distinct(), each.select("win", "item").distinct()
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_items: int = 2) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_items: int = 2, with_hash: bool = False) -> DataFrame:
     """A row for each document: the id, n_words, n_hit, n_items, items_sha256, contaminated.
 
+    With ``with_hash`` also text_hash, xxhash64 of the text, which with the id tells documents of one id or none apart.
     ``n_hit``: words inside any occurrence of a window of an item; ``n_items``: items with such a window.
     """
     prepare(docs.sparkSession)
@@ -123,4 +124,4 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     by_item = hit.join(of, "win").select("id", "x", "item").distinct().groupBy("id", "x").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = spans.drop("wins").join(by_item.withColumnsRenamed({"id": "id1", "x": "x1"}), F.col("id").eqNullSafe(F.col("id1")) & F.col("x").eqNullSafe(F.col("x1")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) >= min_items).alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) >= min_items).alias("contaminated"), *[F.col("x").alias("text_hash")] * with_hash)

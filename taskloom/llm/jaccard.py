@@ -10,8 +10,10 @@ Components need no pair within what is already one component. So each prefix n-g
 drawn by hash, are verified against the rest; only the classes of an n-gram that are in different
 components after that are paired with each other, all of them. No pair that could join components is left out.
 
-Nulls, empty texts and texts without words have an empty set and link with nothing. Repeated rows have equal
-sets and the same component. Extra columns are ignored. An empty table gives an empty result.
+Null texts, empty texts and texts without words have an empty set and link with nothing. Repeated rows have equal
+sets and the same component. Classes and rows have keys of their own, so rows without an id and rows of one id and
+different texts link like any others; a component has the smallest id that isn't null, or null if it has none.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ NEAR = 48
 MOST_COMMON = 1 << 20
 #: Fragments of the n-gram order, a power of 2.
 FRAGMENTS = 8
-#: Ids up to this number are broadcast (16 bytes each at most); more are joined by a shuffle.
+#: Keys up to this number are broadcast (16 bytes each at most, 72 with a class and its digest); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -45,7 +47,7 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _sets(ids: pa.Array, column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each text its row, its distinct n-gram hashes in order, and all of them as in the text."""
     data, offsets = texts(column)
     for lo, hi in chunks(offsets):
@@ -58,19 +60,19 @@ def _sets(ids: pa.Array, column: pa.Array, k: int) -> Iterator[tuple[int, np.nda
 
 
 def _batches(k: int, make: Callable, names: list[str], types: list[pa.DataType], text: bool = False) -> Callable:
-    """A mapInArrow function of (id, text) rows; make(set) gives the values of rows after the id, or none.
+    """A mapInArrow function of (keys.., text) rows; make(set) gives the values of rows after the keys, or none.
 
     With ``text``, make also gets the n-grams in the order of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, columns, size = [], [[] for _ in types[1:]], 0
-            ids = batch.column(0)
+            *keys, column = batch.columns
+            at, columns, size = [], [[] for _ in types[len(keys) :]], 0
 
             def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, types[1:], strict=True)], names)
+                return pa.RecordBatch.from_arrays([x.take(pa.array(at, pa.int64())) for x in keys] + [pa.array(c, t) for c, t in zip(columns, types[len(keys) :], strict=True)], names)
 
-            for i, values, own in _sets(ids, batch.column(1), k):
+            for i, values, own in _sets(column, k):
                 for row in make(values, own) if text else make(values):
                     at.append(i)
                     for c, v in zip(columns, row, strict=True):
@@ -78,7 +80,7 @@ def _batches(k: int, make: Callable, names: list[str], types: list[pa.DataType],
                 size += len(values)
                 if size > 1 << 18:
                     yield flush()
-                    at, columns, size = [], [[] for _ in types[1:]], 0
+                    at, columns, size = [], [[] for _ in types[len(keys) :]], 0
             if at:
                 yield flush()
 
@@ -147,21 +149,50 @@ def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text, for rows without an id too."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Components of the documents whose shingle sets have den * intersection >= num * union.
 
     Returns a row for each input row: the id, n_shingles, component_id (the smallest id of the component).
     """
+    return linked(docs, id_col, text_col, k, num, den).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def firsts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stored rows of :func:`linked`, the keys r of the first row of each component, and those of them that repeated rows share.
+
+    The first is the one with the smallest id, rows without an id last, then by key. A row without n-grams is a
+    component.
+    """
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "r", "m"))
+    rows = found.groupBy("r", "doc", "comp").agg(F.count("*").alias("m"))
+    one = rows.where("comp is not null").groupBy("comp").agg(first.alias("h")).select("h.r", "h.m").union(rows.where("comp is null").select("r", "m"))
+    keys = cut(one.groupBy("r").agg(F.sum("m").alias("m")))
+    return keys.select("r"), keys.where("m > 1").select("r")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """A row for each input row: r (its :func:`row_key`), doc (the id), n, comp (a key of the component, null without n-grams), component_id."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("c"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(row_key(id_col, text_col).alias("r"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts_by_row = docs.select("r", "text")
 
     def sketch(s: np.ndarray) -> list[tuple]:
-        return [(xxhash.xxh3_128_digest(s.tobytes()), len(s), _signed(s[: prefix_size(len(s), num, den)]) if len(s) else [])]
+        return [(_digest(s), len(s), _signed(s[: prefix_size(len(s), num, den)]) if len(s) else [])]
 
-    sketches = store(docs.mapInArrow(_batches(k, sketch, ["c", "digest", "n", "prefix"], [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]), "c long, digest binary, n long, prefix array<long>"))
-    classes = sketches.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"))
-    reps = store(sketches.join(classes, ["c", "digest"], "left_semi").select("c", "n", "prefix").dropDuplicates(["c"]))
+    sketches = store(docs.mapInArrow(_batches(k, sketch, ["r", "doc", "digest", "n", "prefix"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]), "r long, doc long, digest binary, n long, prefix array<long>"))
+    # a class has a key c of its own, its smallest id, and one of its rows
+    classes = store(sketches.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.min("r").alias("r")).withColumn("c", F.monotonically_increasing_id()))
+    reps = store(sketches.join(classes.select("c", "r", "digest"), ["r", "digest"]).select("c", "r", "digest", "n", "prefix").dropDuplicates(["c"]))
 
     # n-grams of the documents that share prefix n-grams with many, and how many classes have them
     exploded = reps.select("c", "n", F.posexplode("prefix").alias("i", "t"))
@@ -180,7 +211,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             np.add.at(close, np.minimum(at + NEAR + 1, len(text)), -1)
             return [(_signed(np.unique(text[np.cumsum(close[:-1]) > 0])),)]
 
-        counted = docs.mapInArrow(_batches(k, near, ["c", "all"], [pa.int64(), pa.list_(pa.int64())], text=True), "c long, all array<long>").select(F.explode("all").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") >= COMMON)
+        counted = texts_by_row.mapInArrow(_batches(k, near, ["r", "all"], [pa.int64(), pa.list_(pa.int64())], text=True), "r long, all array<long>").select(F.explode("all").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") >= COMMON)
         last = spark.sparkContext.broadcast(_most_common(store(counted)))
 
         def reorder(s: np.ndarray) -> list[tuple]:
@@ -188,10 +219,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if not n:
                 return []
             late = _among(s, last.value)  # for every document: prefixes meet only in one order
-            return [(_signed(np.concatenate([s[~late], s[late]])[:n]),)]
+            return [(_digest(s), _signed(np.concatenate([s[~late], s[late]])[:n]))]
 
-        moved = docs.mapInArrow(_batches(k, reorder, ["c", "prefix"], [pa.int64(), pa.list_(pa.int64())]), "c long, prefix array<long>")
-        reps = store(reps.select("c", "n").join(moved, "c").dropDuplicates(["c"]))
+        moved = texts_by_row.mapInArrow(_batches(k, reorder, ["r", "digest", "prefix"], [pa.int64(), pa.binary(), pa.list_(pa.int64())]), "r long, digest binary, prefix array<long>")
+        reps = store(reps.select("c", "r", "digest", "n").join(moved, ["r", "digest"]).select("c", "n", "prefix").dropDuplicates(["c"]))
         exploded = reps.select("c", "n", F.posexplode("prefix").alias("i", "t"))
         met = exploded.groupBy("t").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("t")
     rows = store(exploded.join(met.select("t"), "t", "left_semi"))
@@ -199,13 +230,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shift = 64 - FRAGMENTS.bit_length() + 1
 
     def segments(s: np.ndarray) -> list[tuple]:
+        digest = _digest(s)
         cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(shift))
-        return [(f, _signed(x)) for f, x in enumerate(np.split(s, cuts)) if len(x)]
+        return [(digest, f, _signed(x)) for f, x in enumerate(np.split(s, cuts)) if len(x)]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b, na, nb), the pairs that link, by the sum of the overlaps in the fragments."""
         ids = cut(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
-        parts = only(docs, ids, "c").mapInArrow(_batches(k, segments, ["c", "f", "seg"], [pa.int64(), pa.int32(), pa.list_(pa.int64())]), "c long, f int, seg array<long>").dropDuplicates(["c", "f"])
+        own = cut(classes.select("c", "r", "digest").join(ids, "c", "left_semi"))
+        rows = texts_by_row.join(F.broadcast(own) if own.count() <= BROADCAST_IDS else own, "r").select("c", "digest", "text")
+        parts = rows.mapInArrow(_batches(k, segments, ["c", "digest", "made", "f", "seg"], [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64())]), "c long, digest binary, made binary, f int, seg array<long>").where("digest = made").drop("digest", "made").dropDuplicates(["c", "f"])
         left, right = parts.select(F.col("c").alias("a"), "f", F.col("seg").alias("x")), parts.select(F.col("c").alias("b"), "f", F.col("seg").alias("y"))
         overlap = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
         return overlap.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -244,6 +278,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if comp is None or not found.isEmpty():
             comp = connected(found if comp is None else comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
 
-    of = classes.join(comp, classes["c"] == comp["node"], "left").select("digest", F.coalesce("comp", "c").alias("component_id"))
-    out = sketches.join(of, "digest", "left")
-    return out.select(F.col("c").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("c")).alias("component_id"))
+    of = classes.join(comp, classes["c"] == comp["node"], "left").select("digest", "doc", F.coalesce("comp", "c").alias("comp"))
+    names = of.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    out = sketches.select("r", "doc", "digest", "n").join(of.drop("doc").join(names, "comp"), "digest", "left")
+    return out.select("r", "doc", "n", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

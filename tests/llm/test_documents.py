@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from taskloom.llm import bwt, decontam, jaccard, quality, sharding, sufdedup
@@ -66,7 +67,7 @@ def test_components_of_exact_copies_with_a_phrase(spark):
     """Near copies without a common phrase of texts that have it and many exact copies: the order is one for all."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    phrase = min((" ".join(word() for _ in range(4)) for _ in range(300)), key=lambda p: next(jaccard._sets(None, pa.array([p]), 4))[1][0])
+    phrase = min((" ".join(word() for _ in range(4)) for _ in range(300)), key=lambda p: next(jaccard._sets(pa.array([p]), 4))[1][0])
     texts = [" ".join([word(), word(), phrase, word(), word()]) for _ in range(20)]
     for _ in range(8):
         head, tail = (" ".join(word() for _ in range(60)) for _ in range(2))
@@ -75,6 +76,14 @@ def test_components_of_exact_copies_with_a_phrase(spark):
     assert {r.doc_id: r.component_id for r in jaccard.components(df).collect()} == groups(sets(df.collect()), 85, 100)
 
 
+def test_components_without_an_id_and_of_one_id(spark):
+    text = lambda k, end="": " ".join(f"w{k}x{i}" for i in range(80)) + end
+    rows = [(None, text(1)), (None, text(1, " end")), (None, text(2)), (5, text(2, " end")), (None, text(3)), (7, text(4)), (7, text(5)), (8, text(4, " end")), (6, text(5, " end")), (7, text(5)), (None, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    ids = [None, None, 5, 5, None, 7, 6, 7, 6, 6, None]
+    assert got == sorted(((i, len(s), c) for (i, _), s, c in zip(rows, [sets([Row(doc_id=0, text=t)])[0] for _, t in rows], ids, strict=True)), key=str)
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (7, 7)]
     got = {r.node: r.comp for r in jaccard.connected(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -31,6 +31,20 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in got)
 
 
+def test_rows_without_an_id_and_of_one_id(spark, tmp_path):
+    filler = lambda k, n, end="": " ".join(f"word{k}x{i}" for i in range(n)) + end
+    item = filler("item", 30)
+    clean, bad = filler(6, 90), filler(7, 60) + " " + item
+    rows = [(None, filler(1, 80)), (None, filler(1, 80)), (None, filler(2, 80)), (3, filler(2, 80, " end")), (4, filler(4, 80)), (4, filler(5, 80)), (4, filler(5, 80)), (6, clean), (6, bad), (None, filler(8, 60) + " " + item), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    listed = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = store(corpus_pipeline.ngram_jaccard_join(spark, docs, str(tmp_path)))
+    assert listed(kept) == sorted([rows[i] for i in (0, 3, 4, 5, 7, 8, 9, 10)], key=str)
+    left = corpus_pipeline.benchmark_decontamination(spark, kept, str(tmp_path))
+    assert listed(left) == sorted([rows[i] for i in (0, 3, 4, 5, 7, 10)], key=str)
+
+
 def test_each_operator_has_its_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
