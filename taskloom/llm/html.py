@@ -7,6 +7,7 @@ words, stay undecided; the second pass gives them the class of the nearest decid
 (or, outside of one, of the page), of the better class at equal distance. In an article with no decided block
 they are good, elsewhere bad.
 
+A self-closing svg is empty, and custom elements such as svg-icon are elements like any others.
 Null html is an empty page. Unclosed and cut-off markup is read as far as it goes. Pages are read whole.
 Repeated rows have a row each. Extra columns are ignored.
 """
@@ -40,7 +41,7 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 _NESTING = {"article", "aside", "blockquote", "body", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "main", "menu", "nav", "ol", "section", "table", "ul", "span"} | _SILENT
 #: Words of class and id that mark menus, notices, adverts, sidebars and comments.
 _MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "replies", "widget", "pagination", "pager"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(script|style|noscript|template|iframe|svg|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")

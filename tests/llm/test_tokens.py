@@ -92,6 +92,11 @@ def test_main_text():
     assert html.main_text("<article><p>cut &am") == "cut &am"
 
 
+@pytest.mark.parametrize("tag", ['<svg-icon name="x"></svg-icon>', '<svg class="i"/>', "<svg />", "<svg/>", "<template-x>", "<style-guide></style-guide>", '<SVG title="a > b"/>', "<svg><text>no</text></svg>", "<script-x/>"])
+def test_text_after_custom_and_empty_elements(tag):
+    assert html.main_text(f"<article><p>one</p>{tag}<p>two</p></article>") == "one\ntwo"
+
+
 def test_pages_keep_their_rows(spark):
     df = spark.createDataFrame([(1, None, None, 5), (1, "u", PAGE, 6), (1, "u", PAGE, 6)], "page_id long, url string, html string, text int")
     got = html.extract(df).collect()
