@@ -7,6 +7,9 @@ words, stay undecided; the second pass gives them the class of the nearest decid
 (or, outside of one, of the page), of the better class at equal distance. In an article with no decided block
 they are good, elsewhere bad.
 
+Stop words know four languages only. So where a page has no article and no good block, blocks are judged without
+them: long ones of few links are good. If there are none, short ones of few links that end as a sentence does are.
+
 A self-closing svg is empty, and custom elements such as svg-icon are elements like any others.
 Null html is an empty page. Unclosed and cut-off markup is read as far as it goes. Pages are read whole.
 Repeated rows have a row each. Extra columns are ignored.
@@ -47,6 +50,9 @@ _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?
 _SPACE = re.compile(r"\s+")
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
+#: The end of a sentence, in any script, and quotes or brackets after it.
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff0e\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965\u1362\u104b\u17d4\u0589][\"'\u00bb\u2019\u201c\u201d\u300d\u300f)\]\uff09]*$")
+
 LINK_DENSITY = 0.5
 LONG = 70
 STOP_LOW, STOP_HIGH = 0.10, 0.18
@@ -136,10 +142,20 @@ def first_pass(text: str, links: int, in_article: bool) -> str:
     return "bad"
 
 
+def by_form(text: str, links: int, sentences: bool) -> str:
+    """The first pass without stop words: by links and length or, with ``sentences``, by the end of a sentence."""
+    if links > LINK_DENSITY * len(text):
+        return "bad"
+    return "good" if len(text) >= LONG or (sentences and _SENTENCE.search(text)) else "undecided"
+
+
 def main_text(page: str | None) -> str:
     found = [b for b in blocks(page or "") if not b[2]]
     classes = [first_pass(t, n, a > 0) for t, n, _, a in found]
     scope = [a for _, _, _, a in found]
+    for sentences in (False, True):
+        if not any(scope) and "good" not in classes:
+            classes = [by_form(t, n, sentences) for t, n, _, _ in found]
     out = []
     before: list[tuple[int, str] | None] = []
     last: dict[int, tuple[int, str]] = {}

@@ -97,6 +97,21 @@ def test_text_after_custom_and_empty_elements(tag):
     assert html.main_text(f"<article><p>one</p>{tag}<p>two</p></article>") == "one\ntwo"
 
 
+@pytest.mark.parametrize(
+    "paragraphs",
+    [
+        ["Вчера вечером в городском саду открылась выставка старинных часов, на которую пришли сотни жителей.", "Коротко.", "Каждый экспонат сопровождается рассказом мастера, который много лет собирал эту коллекцию."],
+        ["昨天晚上，城市花园里举办了一场古董钟表展览，吸引了数百名市民前来参观。", "每件展品都附有收藏家的介绍。"],
+        ["Wczoraj otwarto wystawę.", "Przyszło wielu gości!"],
+        ["We met.", "It rained all day."],
+    ],
+)
+def test_main_text_of_pages_without_an_article(paragraphs):
+    nav = "<nav><a href='/'>Home</a></nav><div><a href='/a'>Вчера вечером в городском саду открылась выставка старинных часов и картин.</a></div>"
+    page = f"<body>{nav}{''.join(f'<div>{p}</div>' for p in paragraphs)}<footer>© 2020.</footer></body>"
+    assert html.main_text(page) == "\n".join(paragraphs)
+
+
 def test_pages_keep_their_rows(spark):
     df = spark.createDataFrame([(1, None, None, 5), (1, "u", PAGE, 6), (1, "u", PAGE, 6)], "page_id long, url string, html string, text int")
     got = html.extract(df).collect()
