@@ -140,5 +140,5 @@ def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region table's file as bytes, in 8 chunks."""
-    return files.read_chunks(spark, f"{sf_dir}/region.parquet", 8).select("i", "a", "b", F.sha2("bytes", 256).alias("sha"))
+    """The files of the documents table as bytes, each in 8 chunks."""
+    return files.read_chunks(spark, f"{sf_dir}/documents.parquet", 8).select(F.element_at(F.split("path", "/"), -1).alias("file"), "i", "a", "b", F.sha2("bytes", 256).alias("sha"))

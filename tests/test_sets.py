@@ -154,6 +154,21 @@ def test_file_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
 
 
+def test_chunks_of_files_that_are_more_than_a_row(spark, tmp_path):
+    data = {name: random.Random(name).randbytes(size) for name, size in (("a b%20", 100_003), ("c", 5), ("d", 0))}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "4096")
+    try:
+        got = files.read_chunks(spark, str(tmp_path), 16).orderBy("path", "i").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [r.i for r in got] == [*range(16), *range(5)]
+    assert all(len(r.bytes) == r.b - r.a for r in got)
+    for name, content in data.items():
+        assert b"".join(bytes(r.bytes) for r in got if r.path.endswith("/" + name)) == content
+
+
 def test_registry(spark):
     r = Registry()
     number = r.put("axpy")
