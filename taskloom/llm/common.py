@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -14,32 +16,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch that goes to a Python worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch that goes to a Python worker; a longer single row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings for the operators: small Arrow batches, a checkpoint folder if none is set, and the package's
     place for Python workers (on a cluster it is installed there or comes with --py-files).
 
-    On a cluster ``spark.checkpoint.dir`` names a folder that all machines share and is used as it is;
-    only where it is unset (tests, local mode) a temporary folder is made.
+    On a cluster ``spark.checkpoint.dir`` names a folder that all machines share and is used as it is; a cluster
+    without one is refused. Only in local mode (tests) a temporary folder is made.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="taskloom-checkpoint-"))
 
 
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs inside drops its shuffle files when it ends: its rows are stored, nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint: later plans read the rows from the shared folder, not from this plan."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _own_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +108,22 @@ def shared_folder(spark: SparkSession) -> str:
 def store(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet below the shared checkpoint folder and read them back.
 
-    Like :func:`cut`, in columns that compress; for tables of many narrow rows.
+    Like :func:`cut`, in columns that compress, and :func:`discard` can delete it.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _own_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            df._stored_at = None
