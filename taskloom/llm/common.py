@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Rows and bytes of an Arrow batch that goes to a Python worker; a longer single row is a batch of its own.
 ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])

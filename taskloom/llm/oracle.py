@@ -10,10 +10,10 @@ r AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g JOIN r USING (doc_id, g), (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
 l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT s) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-coalesce(l.n, 0) AS n_lines, length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F\x{80}-\x{BF}]', '', 'g')) + length(regexp_replace(t, '[^\x{80}-\x{BF}]', '', 'g')) AS letters, len(list_distinct(w)) AS kinds FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+coalesce(l.n, 0) AS n_lines, length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F\x{80}-\x{BF}]', '', 'g')) + length(regexp_replace(t, '[^\x{80}-\x{BF}]', '', 'g')) AS letters, len(list_distinct(w)) AS kinds, len(list_distinct([w[i:i + 2] for i in range(1, len(w) - 1)])) AS triples FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_dup_lines > 6 * n_lines OR 2 * letters < word_chars OR (n_words > 50 AND 20 * kinds < n_words)) AS kept FROM f
+NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_dup_lines > 6 * n_lines OR 2 * letters < word_chars OR (n_words > 50 AND 20 * kinds < n_words) OR (n_words > 50 AND 3 * triples < n_words - 2)) AS kept FROM f
 """
 
 CHAT = """

@@ -1,17 +1,22 @@
 """Quality rules: base statistics of every document and a short-circuit cascade of rules.
 
-The base statistics are made for all documents. Documents that don't fail the base test go through the
-cascade: each rule's cost and rejections are measured on a sample (the first SAMPLE_ROWS rows of the table),
-the rules are put in order of rejections per second, and each rule sees only what the rules before it have
-kept. A document is kept if no rule rejects it, so the order changes the time but never the result.
+The base statistics are made for all documents. Documents that don't fail the base test go through the cascade.
+Each rule's cost and rejections are measured on a seeded sample of about SAMPLE_ROWS rows of all partitions, whole
+texts, on the executors; the rules are put in order of rejections per second, and each rule sees only what the rules
+before it have kept. What a rule needs besides the base statistics it makes itself, for these rows alone. A document
+is kept if no rule rejects it, so the order changes the time but never the result.
 
-Null and empty texts have no words and fail the base test. Repeated rows have a row each. Texts are taken
-whole. Extra columns are ignored. An empty table gives an empty result.
+Lines and windows of words are grouped by hash, and those of equal hash are then compared byte by byte.
+
+Null and empty texts have no words and fail the base test. Repeated rows have a row each; of rules of equal rejections
+per second the one given first goes first. Texts are taken whole, very long ones in a pass of their own. Extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm import kernel
-from taskloom.llm.common import chunks, prepare, texts
+from taskloom.llm.common import chunks, prepare, ragged, texts
 
 REPEAT_WORDS = 8
-SAMPLE_ROWS = 400
-SAMPLE_CHARS = 1 << 16
+#: Rows that the sample has on average, and its seed.
+SAMPLE_ROWS, SEED = 400, 17
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _LETTERS = np.zeros(256, bool)
@@ -40,13 +45,19 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[offsets])
 
 
-def _again(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which of the hashes have an equal one of the same text before them."""
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from a on are those from b on."""
+    differ = np.concatenate(([0], np.cumsum(data[ragged(a, size)] != data[ragged(b, size)])))
+    ends = np.cumsum(size)
+    return differ[ends] == differ[ends - size]
+
+
+def _groups(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose hash a later place of the same text has too, and the next such place of each."""
     key = kernel.mix(values ^ kernel.mix(of.astype(np.uint64) + np.uint64(1)))
     by = np.argsort(key, kind="stable")
-    out = np.zeros(len(key), bool)
-    out[by[1:]] = key[by[1:]] == key[by[:-1]]
-    return out
+    equal = key[by[1:]] == key[by[:-1]]
+    return by[:-1][equal], by[1:][equal]
 
 
 class Chunk:
@@ -72,24 +83,43 @@ class Chunk:
         of = np.repeat(np.arange(len(offsets) - 1), 1 + np.diff(np.searchsorted(at, offsets)))
         filled = np.searchsorted(self.words.start, end) > np.searchsorted(self.words.start, begin)
         begin, end, of = begin[filled], end[filled], of[filled]
-        power, inverse = kernel.powers(len(data) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernel.BYTE_KEY[data] * power[: len(data)])))
-        value = kernel.mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
         self.n_lines = np.bincount(of, minlength=len(offsets) - 1)
-        self.n_dup_lines = np.bincount(of[_again(value, of)], minlength=len(offsets) - 1)
+        again = np.zeros(len(of), bool)
+        if len(of) > len(np.unique(of)):
+            one, two = _groups(kernel.Hashes(data).of(begin, end), of)
+            right = (of[one] == of[two]) & (end[one] - begin[one] == end[two] - begin[two])
+            right[right] = _same_bytes(data, begin[one[right]], begin[two[right]], (end - begin)[one[right]])
+            again[two] = True
+            for d in np.unique(of[np.concatenate([one[~right], two[~right]])]).tolist():  # unequal lines of one hash
+                seen: set[bytes] = set()
+                for i in np.flatnonzero(of == d).tolist():
+                    line = data[begin[i] : end[i]].tobytes()
+                    again[i] = line in seen
+                    seen.add(line)
+        self.n_dup_lines = np.bincount(of[again], minlength=len(offsets) - 1)
 
     def _repeats(self) -> None:
         k, n = REPEAT_WORDS, len(self.of)
         covered = np.zeros(n + 1, np.int64)
         if n >= k:
-            grams = kernel.grams(self.hash, k)
             at = np.flatnonzero(self.of[: n - k + 1] == self.of[k - 1 :])
-            key = kernel.mix(grams[at] ^ kernel.mix(self.of[at].astype(np.uint64) + np.uint64(1)))
-            by = np.argsort(key, kind="stable")
-            equal = key[by[1:]] == key[by[:-1]]
+            one, two = _groups(kernel.grams(self.hash, k)[at], self.of[at])
             twice = np.zeros(len(at), bool)
-            twice[by[1:]] |= equal
-            twice[by[:-1]] |= equal
+            twice[one] = twice[two] = True
+            a, b = at[one], at[two]
+            right = self.of[a] == self.of[b]
+            size = self.words.end - self.words.start
+            for i in range(k):
+                right &= size[a + i] == size[b + i]
+            for i in range(k):
+                own = np.flatnonzero(right)
+                right[own] = _same_bytes(self.data, self.words.start[a[own] + i], self.words.start[b[own] + i], size[a[own] + i])
+            for d in np.unique(self.of[np.concatenate([a[~right], b[~right]])]).tolist():  # unequal windows of one hash
+                first, last = int(self.words.first[d]), int(self.words.first[d + 1])
+                words = [self.data[self.words.start[i] : self.words.end[i]].tobytes() for i in range(first, last)]
+                windows = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+                count = Counter(windows)
+                twice[np.searchsorted(at, first) : np.searchsorted(at, first) + len(windows)] = [count[w] > 1 for w in windows]
             covered[at[twice]] += 1
             covered[at[twice] + k] -= 1
         self.n_repeat_words = _per_text(np.cumsum(covered[:-1]) > 0, self.words.first)
@@ -117,23 +147,33 @@ def _dup_lines(c: Chunk, rows: np.ndarray) -> np.ndarray:
 
 def _letters(c: Chunk, rows: np.ndarray) -> np.ndarray:
     """Under half of the characters of words are letters (ASCII letters and all code points past ASCII)."""
-    out = np.zeros(len(rows), bool)
-    for k, d in enumerate(rows.tolist()):
-        letters = int(np.count_nonzero(_LETTERS[c.data[c.offsets[d] : c.offsets[d + 1]]]))
-        out[k] = 2 * letters < c.word_chars[d]
-    return out
+    sizes = c.offsets[rows + 1] - c.offsets[rows]
+    letters = _per_text(_LETTERS[c.data[ragged(c.offsets[rows], sizes)]], np.append(0, np.cumsum(sizes)))
+    return 2 * letters < c.word_chars[rows]
+
+
+def _kinds(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many different values each run of ``sizes`` values has."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((values, of))
+    new = np.append(True, (values[by[1:]] != values[by[:-1]]) | (of[by[1:]] != of[by[:-1]]))[: len(by)]
+    return np.bincount(of[by[new]], minlength=len(sizes))
 
 
 def _variety(c: Chunk, rows: np.ndarray) -> np.ndarray:
     """Over 50 words, and under one of 20 words is new."""
-    out = np.zeros(len(rows), bool)
-    for k, d in enumerate(rows.tolist()):
-        own = c.hash[c.words.first[d] : c.words.first[d + 1]]
-        out[k] = len(own) > 50 and 20 * len(np.unique(own)) < len(own)
-    return out
+    sizes = c.n_words[rows]
+    return (sizes > 50) & (20 * _kinds(c.hash[ragged(c.words.first[rows], sizes)], sizes) < sizes)
 
 
-RULES = (Rule("symbols", _symbols), Rule("word_length", _word_length), Rule("dup_lines", _dup_lines), Rule("letters", _letters), Rule("variety", _variety))
+def _triples(c: Chunk, rows: np.ndarray) -> np.ndarray:
+    """Over 50 words, and under one of three runs of three words is new."""
+    sizes = np.maximum(c.n_words[rows] - 2, 0)
+    grams = kernel.grams(c.hash, 3)
+    return (sizes > 48) & (3 * _kinds(grams[ragged(c.words.first[rows], sizes)], sizes) < sizes)
+
+
+RULES = (Rule("symbols", _symbols), Rule("word_length", _word_length), Rule("dup_lines", _dup_lines), Rule("letters", _letters), Rule("variety", _variety), Rule("triples", _triples))
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Chunk]]:
@@ -145,22 +185,28 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Chunk]]:
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """The rules in the order in which they should run, with seconds a document and share rejected on the sample.
 
-    The driver takes the sample from the table's first partitions and reads no more of it than that. Of a longer
-    text only the first SAMPLE_CHARS count here, so the sample is 26 MB of characters at most. Ties keep the order
-    given.
+    A seeded sample of all partitions, of ``sample_rows`` rows on average, is measured where it is; only sums come to
+    the driver. Ties keep the order given.
     """
     prepare(docs.sparkSession)
-    sample = docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text")).take(sample_rows)
-    column = pa.array([r.text for r in sample], pa.string())
-    cost, seen, rejected = [0.0] * len(rules), 0, [0] * len(rules)
-    for _, _, chunk in _chunks(pa.RecordBatch.from_arrays([column, column], ["id", "text"])):
-        rows = np.flatnonzero(~chunk.base_failed)
-        seen += len(rows)
-        for k, rule in enumerate(rules):
-            began = time.perf_counter()
-            rejected[k] += int(rule.reject(chunk, rows).sum())
-            cost[k] += time.perf_counter() - began
-    known = [(rule, c / max(1, seen), r / max(1, seen)) for rule, c, r in zip(rules, cost, rejected, strict=True)]
+    rows = docs.select(F.lit(0).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = rows.sample(False, min(1.0, sample_rows / max(1, docs.count())), SEED)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost, seen, rejected = [0.0] * len(rules), 0, [0] * len(rules)
+        for batch in batches:
+            for _, _, chunk in _chunks(batch):
+                own = np.flatnonzero(~chunk.base_failed)
+                seen += len(own)
+                for k, rule in enumerate(rules):
+                    began = time.perf_counter()
+                    rejected[k] += int(rule.reject(chunk, own).sum())
+                    cost[k] += time.perf_counter() - began
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array([seen] * len(rules)), pa.array(cost, pa.float64()), pa.array(rejected)], ["k", "seen", "cost", "rejected"])
+
+    sums = sample.mapInArrow(measure, "k int, seen long, cost double, rejected long").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"))
+    found = {r.k: r for r in sums.collect()}  # a row for each rule
+    known = [(rule, found[k].cost / max(1, found[k].seen), found[k].rejected / max(1, found[k].seen)) if k in found else (rule, 0.0, 0.0) for k, rule in enumerate(rules)]
     return sorted(known, key=lambda x: -(x[2] + 1e-6) / max(x[1], 1e-12))
 
 

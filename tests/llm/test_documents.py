@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from taskloom.llm import bwt, decontam, jaccard, quality, sharding, sufdedup
+from taskloom.llm import bwt, decontam, jaccard, kernel, quality, sharding, sufdedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -154,6 +155,72 @@ def test_quality(small, spark):
     assert sorted(order) == sorted(rule.name for rule in quality.RULES)
 
 
+def stats(texts):
+    column = pa.array(texts, pa.string())
+    found = [c for _, _, c in quality._chunks(pa.RecordBatch.from_arrays([column, column], ["id", "text"]))]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return [tuple(int(getattr(c, n)[i]) for n in names) for c in found for i in range(len(c.n_words))]
+
+
+def thue_morse(k):
+    out = "a"
+    for _ in range(k):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("k", [8, 10, 11, 12])
+def test_lines_and_words_that_collide_in_a_ring(k):
+    a, b = thue_morse(k)
+    texts = [f"{a}\n{b}", f"{a}\n{b}\n{a}", " ".join([a, *"cdefghi", b, *"cdefghi"]), " ".join([a, *"cdefghi"] * 2)]
+    assert stats(texts) == [quality_brute(t) for t in texts]
+    assert len({tuple(s) for _, s, _ in jaccard._sets(pa.array([a, b]), 4)}) == 2
+
+
+def test_equal_hashes_are_compared(small, monkeypatch):
+    texts = [r.text for r in small.collect() if len(r.text or "") < 3000] + ["a b\nc d\na b\n\nc e", "a\nb\na\na\nc"]
+    expected = [quality_brute(t) for t in texts]
+    assert stats(texts) == expected
+    monkeypatch.setattr(kernel.Hashes, "of", lambda self, start, end: np.zeros(len(start), np.uint64))
+    grams = kernel.grams
+    monkeypatch.setattr(kernel, "grams", lambda h, k: np.zeros_like(grams(h, k)))
+    assert stats(texts) == expected
+
+
+def test_order_of_the_cascade(spark):
+    """Rules go by rejections per second, and each sees only what those before it have kept."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(25 + i % 4))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def slow(rule):
+        def reject(c, own):
+            time.sleep(0.003 * len(own))
+            return rule(c, own)
+
+        return reject
+
+    even, most, none = (lambda c, r: c.n_words[r] % 2 == 0), (lambda c, r: c.n_words[r] != 27), (lambda c, r: np.zeros(len(r), bool))
+    rules = (quality.Rule("none", none), quality.Rule("slow_most", slow(most)), quality.Rule("even", even))
+    found = quality.plan(docs, rules)
+    assert [r.name for r, _, _ in found] == ["even", "slow_most", "none"]
+    assert {r.name: round(x, 2) for r, _, x in found} == {"even": 0.5, "slow_most": 0.75, "none": 0.0}
+    seen = {}
+
+    def watched(rule):
+        def reject(c, own):
+            seen.setdefault(rule.name, []).append(len(own))
+            return rule.reject(c, own)
+
+        return quality.Rule(rule.name, reject)
+
+    column = pa.array([t for _, t in rows])
+    for _, _, c in quality._chunks(pa.RecordBatch.from_arrays([column, column], ["id", "text"])):
+        assert int(quality._verdict(c, [watched(r) for r, _, _ in found]).sum()) == 20
+    assert {n: sum(v) for n, v in seen.items()} == {"even": 80, "slow_most": 40, "none": 20}
+    assert {r.doc_id for r in quality.quality(docs, rules).where("kept").collect()} == {i for i in range(80) if i % 4 == 2}
+    assert [r.name for r, _, _ in quality.plan(docs.limit(0), rules)] == ["none", "slow_most", "even"]
+
+
 def test_rules_reject_by_themselves(spark):
     good = " ".join(f"word{i}" for i in range(60))
     rows = [(0, good), (1, good.replace(" ", " # ")), (2, " ".join("abcdefghijklmnopqrstuvwxyz" + str(i) for i in range(40))), (3, " ".join(str(1000 + i) for i in range(40))), (4, "\n".join(f"line number {i % 3} of it" for i in range(8)))]
