@@ -1,25 +1,35 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass gives each block a class by its length, its share
-of stop words and the share of its characters in links. Blocks in menus, page headers, footers, sidebars,
-notices, adverts, forms and comments are bad by their place. Short blocks, and in an article blocks of few stop
-words, stay undecided; the second pass gives them the class of the nearest decided block of the same article
-(or, outside of one, of the page), of the better class at equal distance. In an article with no decided block
-they are good, elsewhere bad.
+A page is cut into blocks at block-level tags. Blocks in menus, page headers, footers, sidebars, notices, adverts,
+forms and comments are bad by their place and decide nothing about others. The first pass gives each other block a
+class by its length, its share of stop words and the share of its characters in links: good, bad or undecided. The
+second pass gives an undecided block the class of the nearest decided block (the better one at equal distance).
 
-Stop words know four languages only. So where a page has no article and no good block, blocks are judged without
-them: long ones of few links are good. If there are none, short ones of few links that end as a sentence does are.
+In an article or main element the page itself says what its text is: there only the entries of lists of links are bad,
+and they decide nothing either, so all else of it is good. Outside of it, blocks with no decided one on the page are
+bad.
+
+Stop words know four languages only. So blocks in another script are judged by length and links alone, and so are all
+blocks where a page has no article and no good block. If none of those is long either, short ones of few links that end
+as a sentence does are good.
+
+A class or id marks a place by whole words of its names (``cookie-notice``), but not where the name says that something
+has or hasn't it (``has-sidebar``, ``no-ads``). If all articles of a page are in places that are bad by their names,
+these names are layout and don't count for what holds an article, except those of comments.
 
 A self-closing svg is empty, and custom elements such as svg-icon are elements like any others.
-Null html is an empty page. Unclosed and cut-off markup is read as far as it goes. Pages are read whole.
-Repeated rows have a row each. Extra columns are ignored.
+Null html is an empty page. Unclosed and cut-off markup is read as far as it goes. Pages are read whole, very long
+and deep ones in time linear in their length. Repeated rows have a row each. Extra columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,11 +50,17 @@ _SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "math", "
 #: Elements that are bad by their place.
 _ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _ARTICLE = {"article", "main"}
+_LISTS = {"ul", "ol", "menu", "dl"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 _NESTING = {"article", "aside", "blockquote", "body", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "main", "menu", "nav", "ol", "section", "table", "ul", "span"} | _SILENT
 #: Words of class and id that mark menus, notices, adverts, sidebars and comments.
 _MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "replies", "widget", "pagination", "pager"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(script|style|noscript|template|iframe|svg|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+#: Of those, the ones of readers' comments; and words that say that a page has such a part or hasn't.
+_REPLIES = {"comment", "comments", "disqus", "replies"}
+_HAVING = {"has", "have", "no", "not", "with", "without", "hide", "hides", "is"}
+#: Attributes of a tag; longer ones than these bounds make a tag without attributes, so that no tag is searched to the page's end.
+_ATTRIBUTES = r"(?:[^\"'>]+|\"[^\"]{0,65536}\"|'[^']{0,65536}'){0,1024}+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){_ATTRIBUTES}(?<=/)>|<(script|style|noscript|template|iframe|svg|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
@@ -58,32 +74,58 @@ LONG = 70
 STOP_LOW, STOP_HIGH = 0.10, 0.18
 
 
-def _place(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element makes what is in it bad."""
-    if name in _ASIDE or (name == "header" and not in_article):
-        return True
-    if name in _ARTICLE or name in ("html", "body") or not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+def _marked(attributes: str) -> str | None:
+    """The word of a class, id or role that marks a place, if there is one."""
     for m in _NAMED.finditer(attributes):
-        if not _MARKS.isdisjoint(re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = re.split(r"[^a-z]+", name)
+            if _HAVING.isdisjoint(words):
+                for w in words:
+                    if w in _MARKS:
+                        return w
+    return None
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, bad by place, number of the article or 0) of each block with text, in order."""
-    out: list[tuple[str, int, bool, int]] = []
+#: Why a block is bad: it is in an element of such a kind or a hidden one, or in one that a name marks.
+FINE, BY_NAME, BY_KIND = 0, 1, 2
+
+
+def _place(name: str, attributes: str, in_article: bool) -> int:
+    if name in _ASIDE or (name == "header" and not in_article):
+        return BY_KIND
+    if name in ("html", "body", "main") or not attributes:
+        return FINE
+    if _HIDDEN.search(attributes):
+        return BY_KIND
+    mark = _marked(attributes)
+    if mark is None:
+        return FINE
+    if name in _ARTICLE:  # an article may be a comment, but none is a menu
+        return BY_KIND if mark in _REPLIES else FINE
+    return BY_KIND if mark in _REPLIES else BY_NAME
+
+
+class Block(NamedTuple):
+    text: str
+    links: int  # characters in links
+    bad: bool  # by place
+    article: int  # the number of its article, or 0
+    entry: bool  # of a list
+
+
+def blocks(page: str, layout: bool = False) -> list[Block]:
+    """The blocks with text, in order. With ``layout``, names of what holds an article don't count in it."""
+    out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # element, bad, article, silent
-    bad, article, silent, links, articles = False, 0, False, 0, 0
+    stack: list[tuple[str, int, int, bool, int]] = []  # element, bad, article, silent, lists
+    opened: Counter[str] = Counter()
+    bad, article, silent, lists, links, articles = FINE, 0, False, 0, 0, 0
 
     def close() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append((text, len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()), bad, article))
+            out.append(Block(text, len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()), bad > FINE, article, lists > 0))
         parts.clear()
         linked.clear()
 
@@ -106,78 +148,93 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         if m[2]:
             if name == "a":
                 links = 0
-            elif name in _NESTING:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if at is not None:
-                    del stack[at:]
-                    bad, article, silent = stack[-1][1:] if stack else (False, 0, False)
+            elif opened[name]:
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
+                        break
+                bad, article, silent, lists = stack[-1][1:] if stack else (FINE, 0, False, 0)
         elif name == "a":
             links = 1
         elif name in _NESTING and not m[4].rstrip().endswith("/"):
             if name == "body":  # an unclosed head ends here
                 stack.clear()
-                bad, article, silent = False, 0, False
+                opened.clear()
+                bad, article, silent, lists = FINE, 0, False, 0
             if name in _ARTICLE and not article:
                 articles += 1
                 article = articles
-            bad = bad or _place(name, m[4], article > 0)
+                lists = 0
+                if layout and bad == BY_NAME:
+                    bad = FINE
+            bad = max(bad, _place(name, m[4], article > 0))
             silent = silent or name in _SILENT
-            stack.append((name, bad, article, silent))
+            lists += name in _LISTS
+            stack.append((name, bad, article, silent, lists))
+            opened[name] += 1
     close()
     return out
 
 
-def first_pass(text: str, links: int, in_article: bool) -> str:
+def _foreign(text: str) -> bool:
+    """Most letters are of no Latin script."""
+    letters = [c for c in text if c.isalpha()]
+    return sum(c > "\u024f" for c in letters) * 2 > len(letters)
+
+
+def first_pass(b: Block) -> str:
     """good, bad, or undecided by length, stop words and links."""
-    if links > LINK_DENSITY * len(text):
+    dense = b.links > LINK_DENSITY * len(b.text)
+    if b.article:
+        return "menu" if dense and b.entry else "good"
+    if dense:
         return "bad"
-    if len(text) < LONG:
+    if len(b.text) < LONG:
         return "undecided"
-    words = text.lower().split()
+    words = b.text.lower().split()
     stop = sum(_EDGE.sub("", w) in STOP_WORDS for w in words) / len(words)
-    if stop >= STOP_HIGH:
+    if stop >= STOP_HIGH or (not stop and _foreign(b.text)):
         return "good"
-    if in_article or stop >= STOP_LOW:
-        return "undecided"
-    return "bad"
+    return "undecided" if stop >= STOP_LOW else "bad"
 
 
-def by_form(text: str, links: int, sentences: bool) -> str:
+def by_form(b: Block, sentences: bool) -> str:
     """The first pass without stop words: by links and length or, with ``sentences``, by the end of a sentence."""
-    if links > LINK_DENSITY * len(text):
+    if b.links > LINK_DENSITY * len(b.text):
         return "bad"
-    return "good" if len(text) >= LONG or (sentences and _SENTENCE.search(text)) else "undecided"
+    return "good" if len(b.text) >= LONG or (sentences and _SENTENCE.search(b.text)) else "undecided"
+
+
+def second_pass(classes: list[str]) -> list[str]:
+    """Undecided blocks with the class of the nearest decided one, good at equal distance, bad if there is none."""
+    far = len(classes) + 1
+    best = []
+    for step in (1, -1):
+        distance, last, seen = far, "bad", []
+        for c in classes[::step]:
+            distance += 1
+            if c in ("good", "bad"):
+                distance, last = 0, c
+            seen.append((distance, last != "good", last))
+        best.append(seen[::step])
+    return [min(pair)[2] if c == "undecided" else c for c, *pair in zip(classes, *best, strict=True)]
 
 
 def main_text(page: str | None) -> str:
-    found = [b for b in blocks(page or "") if not b[2]]
-    classes = [first_pass(t, n, a > 0) for t, n, _, a in found]
-    scope = [a for _, _, _, a in found]
+    every = blocks(page or "")
+    if all(b.bad for b in every if b.article) and any(b.article for b in every):
+        every = blocks(page or "", layout=True)
+    found = [b for b in every if not b.bad]
+    inside = any(b.article for b in found)
+    classes = [first_pass(b) for b in found]
     for sentences in (False, True):
-        if not any(scope) and "good" not in classes:
-            classes = [by_form(t, n, sentences) for t, n, _, _ in found]
-    out = []
-    before: list[tuple[int, str] | None] = []
-    last: dict[int, tuple[int, str]] = {}
-    for i, c in enumerate(classes):
-        if c != "undecided":
-            last[scope[i]] = (i, c)
-        before.append(last.get(scope[i]))
-    last.clear()
-    for i in range(len(classes) - 1, -1, -1):
-        c = classes[i]
-        if c != "undecided":
-            last[scope[i]] = (i, c)
-        else:
-            near = [x for x in (before[i], last.get(scope[i])) if x]
-            if not near:
-                c = "good" if scope[i] else "bad"
-            else:
-                least = min(abs(x[0] - i) for x in near)
-                c = "good" if any(x[1] == "good" for x in near if abs(x[0] - i) == least) else "bad"
-        if c == "good":
-            out.append(found[i][0])
-    return "\n".join(reversed(out))
+        if not inside and "good" not in classes:
+            classes = [by_form(b, sentences) for b in found]
+    # an article is decided by itself, what is around it too
+    around = iter(second_pass([c for c, b in zip(classes, found, strict=True) if not b.article]))
+    classes = [c if b.article else next(around) for c, b in zip(classes, found, strict=True)]
+    return "\n".join(b.text for c, b in zip(classes, found, strict=True) if c == "good")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -83,7 +83,16 @@ c(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.x, e.y FROM c JO
 SELECT c.x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c.y) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.x GROUP BY c.x
 """
 
+PAGES = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(p|h1)>') AS b FROM pages),
+u AS (SELECT page_id, k, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(b[k], '<br>', ' ', 'g'), '</?b>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS t FROM (SELECT page_id, b, unnest(range(1, len(b) + 1)) AS k FROM a)),
+t AS (SELECT page_id, string_agg(t, chr(10) ORDER BY k) AS text FROM u WHERE t <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN t USING (page_id)
+"""
+
+#: PAGES is for pages whose article has paragraphs, headings, bold text and breaks only, as the given ones are.
 ORACLE_SQL = {
+    "op4_html_extraction": PAGES,
     "op1_quality_rules": QUALITY,
     "op2_chat_formatting": CHAT,
     "op3_benchmark_decontamination": DECONTAMINATION,
