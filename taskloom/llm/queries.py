@@ -39,7 +39,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spbpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()).drop("decoded")
+    return spbpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_decoded=False)
 
 
 #: The byte limit of a shard.

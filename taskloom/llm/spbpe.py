@@ -1,11 +1,16 @@
 """Encoding and decoding with a SentencePiece BPE model: vectorised merge rounds in numpy.
 
-The text is cut before each white-space mark that follows something else; as no piece of the model has a mark
-after another character, merges never cross these cuts. Distinct words of a batch are encoded together: flat
-arrays of symbols, the least rank of a pair in each word's segment, the leftmost such pair of every word merged
-at once, and the arrays compacted, until no word has a pair. Where no pair with the merged piece can have a
-lower rank, the other places of the same pair in the word are merged in the same round; the order in which the
-library merges gives the same. What isn't in the vocabulary falls back to bytes.
+The text is cut before each white-space mark that follows something else, as no piece of the model has a mark after
+another character, and between two characters that no piece has next to each other; merges never cross these cuts.
+Distinct words of a batch are encoded together: flat arrays of symbols, the least rank of a pair in each part's
+segment, the leftmost such pair of every part merged at once, and the arrays compacted, until no part has a pair.
+Where no pair with the merged piece can have a lower rank, the other places of the same pair in the part are merged in
+the same round; the order in which the library merges gives the same.
+
+Parts of more than LONG symbols have their rounds by themselves: the places of each rank are kept in lists, so a round
+touches the places of the least rank and their neighbours only and a part of n symbols takes about n log n steps. All
+places of the rank are merged at once up to the first whose new neighbours have a rank that goes before the rest.
+What isn't in the vocabulary falls back to bytes.
 
 Models must be BPE with byte fallback, the identity normaliser, a dummy prefix and kept white space, and have
 no user-defined or unused pieces; others are refused.
@@ -17,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -32,6 +38,8 @@ MARK = "▁"
 CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
 #: Characters of text that are encoded together.
 PART_CHARS = 1 << 19
+#: Symbols of a part whose rounds run over the whole array at most.
+LONG = 256
 _INF = np.iinfo(np.int64).max
 
 
@@ -73,6 +81,7 @@ class Model:
         self.pair_rank = np.append(np.array([rank[i] for i in pairs.values()])[by], _INF)
         alone = {i for (a, b), z in pairs.items() for i in (a, b) if rank[z] <= rank.get(i, -1)}
         self.safe = np.array([i not in alone for i in range(n)])
+        self.inside = np.array(sorted({ord(a) * 0x110000 + ord(b) for i in normal for a, b in zip(pieces[i], pieces[i][1:])}) + [_INF], np.int64)  # noqa: B905
         cps = np.array(sorted(ord(c) for c in self.char_ids), np.int64)
         self.cps, self.cp_ids = np.append(cps, _INF), np.append([self.char_ids[chr(c)] for c in cps], 0)
         plain = [b"" if sp.is_control(i) else " \u2047 ".encode() if sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
@@ -93,6 +102,66 @@ class Model:
         hit = self.keys[i] == key
         return np.where(hit, self.pair_rank[i], _INF), self.merged[i]
 
+    def merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols of one part when nothing merges any more."""
+        n = len(sym)
+        sym = np.append(sym, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, piece = np.full(n + 1, _INF), np.zeros(n + 1, np.int64)
+        rank[: n - 1], piece[: n - 1] = self.pair(sym[: n - 1], sym[1:n])
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            own = rank[at]
+            by = np.argsort(own, kind="stable")
+            at, own = at[by], own[by]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                if lo < hi and own[lo] < _INF:
+                    r = int(own[lo])
+                    if r not in places:
+                        places[r] = []
+                        heapq.heappush(ranks, r)
+                    places[r].append(at[lo:hi])
+
+        add(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.concatenate(places.pop(r))
+            at = np.unique(at[rank[at] == r])
+            if not len(at):
+                continue
+            # of places that share a symbol the leftmost goes first
+            index = np.arange(len(at))
+            begin = np.append(True, at[1:] != after[at[:-1]])
+            p = at[(index - np.maximum.accumulate(np.where(begin, index, 0))) % 2 == 0]
+            q, z = after[p], piece[p]
+            left, right = before[p], after[q]
+            # the neighbours when it is a place's turn: the one before is merged by then, the one after isn't
+            ls = np.where(left >= 0, sym[left], -1)
+            beside = np.append(False, left[1:] == q[:-1])
+            ls[beside] = z[:-1][beside[1:]]
+            first = (self.pair(np.maximum(ls, 0), z)[0] <= r) & (ls >= 0)
+            first |= (right < n) & (self.pair(z, np.maximum(sym[right], 0))[0] <= r)
+            if first.any():
+                stop = int(np.argmax(first))
+                rest = at[at > p[stop]]
+                p, q, z, right = p[: stop + 1], q[: stop + 1], z[: stop + 1], right[: stop + 1]
+            else:
+                rest = at[:0]
+            sym[p], sym[q], rank[q] = z, -1, _INF
+            after[p] = right
+            before[right] = p
+            touched = np.concatenate([before[p], p])
+            touched = touched[touched >= 0]
+            last = after[touched] >= n
+            rank[touched[last]] = _INF
+            touched = touched[~last]
+            rank[touched], piece[touched] = self.pair(sym[touched], sym[after[touched]])
+            add(np.concatenate([touched, rest]))
+        return sym[:n][sym[:n] >= 0]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and each word's number of ids."""
         count = np.array([len(w) for w in words], np.int64)
@@ -100,31 +169,44 @@ class Model:
         i = np.searchsorted(self.cps, cp)
         sym = np.where(self.cps[i] == cp, self.cp_ids[i], self.size + cp)
         word = np.repeat(np.arange(len(words)), count)
+        pairs = cp[:-1] * 0x110000 + cp[1:]
+        new = np.ones(len(cp), bool)
+        new[1:] = (word[1:] != word[:-1]) | (self.inside[np.searchsorted(self.inside, pairs)] != pairs)
+        part = np.cumsum(new) - 1
+        of = word[new]  # the word of each part
+        done_sym, done_part = [], []
+        sizes = np.bincount(part, minlength=len(of))
+        for d in np.flatnonzero(sizes > LONG).tolist():
+            lo = int(np.searchsorted(part, d))
+            done_sym.append(self.merge_long(sym[lo : lo + int(sizes[d])]))
+            done_part.append(np.full(len(done_sym[-1]), d))
+        if done_sym:
+            short = sizes[part] <= LONG
+            sym, part = sym[short], part[short]
         rank, piece = np.full(len(sym), _INF), np.zeros(len(sym), np.int64)
-        inner = np.flatnonzero(word[1:] == word[:-1])
+        inner = np.flatnonzero(part[1:] == part[:-1])
         rank[inner], piece[inner] = self.pair(sym[inner], sym[inner + 1])
-        done_sym, done_word = [], []
         while len(sym):
-            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             least = np.minimum.reduceat(rank, begin)
             sizes = np.diff(np.append(begin, len(sym)))
             over = np.repeat(least == _INF, sizes)
             if over.any():
                 done_sym.append(sym[over])
-                done_word.append(word[over])
+                done_part.append(part[over])
                 keep = ~over
-                sym, word, rank, piece = sym[keep], word[keep], rank[keep], piece[keep]
+                sym, part, rank, piece = sym[keep], part[keep], rank[keep], piece[keep]
                 sizes, least = sizes[least != _INF], least[least != _INF]
                 if not len(sym):
                     break
             at = np.flatnonzero(rank == np.repeat(least, sizes))
-            own = word[at]
+            own = part[at]
             first = np.append(True, own[1:] != own[:-1])
-            # a b a b: all leftmost places that don't overlap; of others only the first of the word
+            # a b a b: all leftmost places that don't overlap; of others only the first of the part
             run = first | np.append(True, at[1:] != at[:-1] + 1)
             offset = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
             same = piece[at] == piece[at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]]
-            mixed = np.zeros(len(words), bool)
+            mixed = np.zeros(len(of), bool)
             mixed[own[~same]] = True
             at = at[first | (self.safe[piece[at]] & (offset % 2 == 0) & ~mixed[own])]
             sym[at] = piece[at]
@@ -132,15 +214,15 @@ class Model:
             keep[at + 1] = False
             place = np.cumsum(keep) - 1
             at = place[at]
-            sym, word, rank, piece = sym[keep], word[keep], rank[keep], piece[keep]
+            sym, part, rank, piece = sym[keep], part[keep], rank[keep], piece[keep]
             for left in (at, at[at > 0] - 1):
-                both = (left + 1 < len(sym)) & (word[np.minimum(left + 1, len(sym) - 1)] == word[left])
+                both = (left + 1 < len(sym)) & (part[np.minimum(left + 1, len(sym) - 1)] == part[left])
                 rank[left[~both]] = _INF
                 left = left[both]
                 rank[left], piece[left] = self.pair(sym[left], sym[left + 1])
-        sym, word = np.concatenate(done_sym or [sym]), np.concatenate(done_word or [word])
-        by = np.argsort(word, kind="stable")
-        sym, word = sym[by], word[by]
+        sym, part = np.concatenate(done_sym or [sym]), np.concatenate(done_part or [part])
+        by = np.argsort(part, kind="stable")
+        sym, word = sym[by], of[part[by]]
         lost = np.flatnonzero(sym >= self.size)
         if len(lost):
             raw = [chr(c - self.size).encode("utf-8", "surrogatepass") for c in sym[lost].tolist()]
@@ -254,8 +336,8 @@ def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each input row: the id, n_tokens, ids_sha256, decoded (the text of the ids), decoded_sha256.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = True) -> DataFrame:
+    """A row for each input row: the id, n_tokens, ids_sha256, decoded_sha256, and decoded (the text of the ids) unless it isn't asked for.
 
     With ``with_ids`` also ids. The model file is read by the driver and sent to the executors (under 1 MB).
     """
@@ -271,14 +353,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 ids, count = model.encode(whole[lo:hi])
                 decoded = model.decode(ids, count)
                 columns = {"id": batch.column(0).slice(lo, hi - lo), "n_tokens": pa.array(count), "ids_sha256": pa.array(model.digests(ids, count))}
-                columns |= {"decoded": pa.array(decoded, pa.string()), "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])}
+                columns["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])
+                if with_decoded:
+                    columns["decoded"] = pa.array(decoded, pa.string())
                 if with_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * with_decoded + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

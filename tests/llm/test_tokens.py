@@ -44,6 +44,31 @@ def test_bpe_equals_the_library(library):
     assert model.decode(np.array(sum(odd, []), np.int32), np.array([len(x) for x in odd])) == [library.decode(x) for x in odd]
 
 
+@pytest.mark.parametrize("long", [2, 5, 256])
+def test_long_words_equal_the_library(library, monkeypatch, long):
+    monkeypatch.setattr(spbpe, "LONG", long)
+    model = spbpe.Model(open(PATH, "rb").read())
+    rng = random.Random(long)
+    pieces = [library.id_to_piece(i).replace("▁", "") for i in range(300, 32000)]
+    some = [[rng.choice(pieces[: rng.choice([20, 200, 5000])]) for _ in range(rng.randrange(100, 300))] for _ in range(150)]
+    texts = ["".join(s) for s in some] + random_texts(300, 60, long) + ["a" * 3001, "aab" * 700, "the" * 500 + "ing" * 500, "日本語" * 500, "x" + "é" * 999]
+    ids, count = model.encode(texts)
+    ends = np.concatenate(([0], np.cumsum(count)))
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_eos=True)
+
+
+def test_a_word_of_a_megabyte(library):
+    rng = random.Random(2)
+    model = spbpe.Model(open(PATH, "rb").read())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    for text in ("".join(rng.choice(letters) for _ in range(1_000_000)), "".join(rng.choice("etaoinsr") for _ in range(1_000_000))):
+        began = time.time()
+        ids, _ = model.encode([text])
+        assert time.time() - began < 60
+        assert ids.tolist() == library.encode(text, add_eos=True)
+
+
 def test_encode_and_decode_tables(small, spark, library, monkeypatch):
     out = spbpe.encode(small, PATH, with_ids=True)
     texts = {r.doc_id: r.text or "" for r in small.collect()}
