@@ -8,12 +8,16 @@ then extended to the whole window, word by word, and only full windows count.
 
 An item with fewer words than a window is one window of all its words. Its fingerprint is its first word.
 
+A fingerprint's row has its place and the few words around it, not the text, so the work is linear in a text's length;
+rows that meet no fingerprint of the benchmark end in the join, which is before any shuffle.
+
 The benchmark's windows are broadcast, in blocks of at most BLOCK rows, and the documents are read once for
-each block, so a benchmark of any size is compared in full. One block holds about 5,000 items of 50 words.
+each block, so a benchmark of any size is compared in full. One block holds about 20,000 items of 50 words.
 
 Nulls and texts without words have no words, hit nothing and aren't hit. A document that is in the table more
 than once has one row; documents of one id and different texts have a row each. Ties between equal hashes in a
-window are all kept. Extra columns are ignored. An empty benchmark hits nothing.
+window are all kept. Very long texts are taken whole. Extra columns are ignored. An empty benchmark hits nothing, an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from taskloom.llm.common import cut, prepare
 WINDOW = 8
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
-#: Rows of benchmark windows in a broadcast at most, of about 150 bytes each.
-BLOCK = 250_000
+#: Rows of benchmark windows in a broadcast at most, of about 60 bytes each.
+BLOCK = 1_000_000
 #: ASCII that isn't part of a word.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,6 +69,16 @@ def _fingerprints(h: Column, g: Column) -> Column:
     return F.when(size >= SPAN, places).otherwise(F.array().cast("array<int>"))
 
 
+def _made(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with the column made here and nowhere else.
+
+    The optimizer would put its expression into each lambda that reads it and so evaluate it for each element; a
+    generator of one element is in its way.
+    """
+    rest = [c for c in rows.columns if c != name]
+    return rows.select(*rest, F.explode(F.array(name)).alias(name))
+
+
 def windows(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (win, words as hashes, n) and (win, item) of the windows' items."""
     items = bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("w")).where(F.size("w") > 0)
@@ -86,26 +100,36 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     wins, of = cut(wins), cut(of)
     full = wins.where(F.col("n") == WINDOW)
     grams = F.transform(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda o: F.xxhash64(*[F.get("h", o + k) for k in range(GRAM)]))
-    prints = full.select("win", "h", "n", F.posexplode(grams).alias("o", "fp"), F.array_min(grams).alias("least")).where("fp = least").drop("least")
-    short = wins.where(F.col("n") < WINDOW).select("win", "h", "n", F.lit(0).alias("o"), F.get("h", F.lit(0)).alias("fp"))
+    prints = full.select("win", "n", F.posexplode(grams).alias("o", "fp"), F.array_min(grams).alias("least")).where("fp = least").drop("least")
+    short = wins.where(F.col("n") < WINDOW).select("win", "n", F.lit(0).alias("o"), F.get("h", F.lit(0)).alias("fp"))
     prints, short = cut(prints), cut(short)
 
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), words(text).alias("w")).select("id", "x", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    base = base.withColumn("g", F.when(F.size("h") >= GRAM, _grams(F.col("h"))).otherwise(F.array().cast("array<bigint>")))
-    none = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("bigint").alias("fp")))
-
-    def hits(rows: DataFrame, at: Column, table: DataFrame) -> DataFrame:
-        """Starts of the windows in the documents, and a row (start -1) for each document as well."""
-        seeds = rows.select("id", "x", "h", F.explode(F.concat(none, at)).alias("e")).select("id", "x", "h", "e.p", "e.fp")
-        every = docs.sparkSession.createDataFrame([(None, None, None, 0, 0)], "win long, h array<long>, n int, o int, fp long")
-        same = seeds.join(F.broadcast(table.unionByName(every).withColumnRenamed("h", "want").withColumnRenamed("fp", "fp2")), F.col("fp") == F.col("fp2"))
+    base = _made(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.transform(words(text), lambda w: F.xxhash64(w)).alias("h")), "h")
+    base = _made(base.withColumn("g", F.when(F.size("h") >= GRAM, _grams(F.col("h"))).otherwise(F.array().cast("array<bigint>"))), "g")
+    around = SPAN - 1
+    none = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("bigint").alias("fp"), F.array().cast("array<bigint>").alias("c")))
+
+    def hits(at: Column, table: DataFrame) -> DataFrame:
+        """Starts of the windows in the documents, and a row (start null) for each document as well.
+
+        A fingerprint at p has in c the words from p - around on, null where the text has none."""
+        # the number of words is made before the rows are, or each of them would have the whole text beside it
+        seeds = base.select("id", "x", F.size("h").alias("words"), F.concat(none, at).alias("at")).select("id", "x", "words", F.explode("at").alias("e")).select("id", "x", "words", "e.*")
+        every = docs.sparkSession.createDataFrame([(None, 0, 0, 0)], "win long, n int, o int, fp long")
+        same = seeds.join(F.broadcast(table.unionByName(every).withColumnRenamed("fp", "fp2")), F.col("fp") == F.col("fp2"))
         begin = F.col("p") - F.col("o")
-        extended = F.when(F.col("p") >= 0, (begin >= 0) & F.col("want").isNotNull() & F.coalesce(F.slice("h", F.greatest(begin, F.lit(0)) + 1, F.greatest(F.col("n"), F.lit(0))) == F.col("want"), F.lit(False))).otherwise(F.col("win").isNull())
-        return same.where(extended).select("id", "x", F.size("h").alias("words"), F.when(F.col("win").isNotNull(), begin).alias("s"), "n", "win")
+        window = F.slice("c", around - F.col("o") + 1, F.greatest(F.col("n"), F.lit(0)))
+        inside = (begin >= 0) & (begin + F.col("n") <= F.col("words"))
+        extended = F.when(F.col("p") >= 0, inside & F.col("win").isNotNull() & F.coalesce(F.xxhash64(window) == F.col("win"), F.lit(False))).otherwise(F.col("win").isNull())
+        return same.where(extended).select("id", "x", "words", F.when(F.col("win").isNotNull(), begin).alias("s"), "n", "win")
+
+    def place(i: Column, fp: Column) -> Column:
+        # not a slice: that would copy the whole array for each place
+        return F.struct(i.alias("p"), fp.alias("fp"), F.array(*[F.get("h", i + k) for k in range(-around, WINDOW)]).alias("c"))
 
-    seeds_full = F.transform(_fingerprints(F.col("h"), F.col("g")), lambda i: F.struct(i.alias("p"), F.get("g", i).alias("fp")))
-    seeds_short = F.transform("h", lambda v, i: F.struct(i.alias("p"), v.alias("fp")))
+    seeds_full = F.transform(_fingerprints(F.col("h"), F.col("g")), lambda i: place(i, F.get("g", i)))
+    seeds_short = F.transform("h", lambda v, i: place(i, v))
     found = []
     for rows, at in ((prints, seeds_full), (short, seeds_short)):
         count = rows.count()
@@ -114,14 +138,15 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         blocks = -(-count // BLOCK) or 1
         for b in range(blocks):
             table = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
-            found.append(hits(base, at, table))
+            found.append(hits(at, table))
     found = reduce(DataFrame.unionAll, found)
     spans = found.groupBy("id", "x").agg(F.max("words").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", (F.col("s") + F.col("n")).alias("e"))))).alias("r"), F.collect_set("win").alias("wins"))
     # each span adds what is past the furthest end so far
     covered = F.aggregate("r", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("sum")), lambda acc, r: F.struct(F.greatest(acc["end"], r["e"]).alias("end"), (acc["sum"] + F.greatest(r["e"] - F.greatest(r["s"], acc["end"]), F.lit(0))).alias("sum")), lambda acc: acc["sum"])
     spans = cut(spans.select("id", "x", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "wins"))
     hit = spans.where(F.size("wins") > 0).select("id", "x", F.explode("wins").alias("win"))
-    by_item = hit.join(of, "win").select("id", "x", "item").distinct().groupBy("id", "x").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    # windows that very many documents have are no hot key of a shuffle where the benchmark's windows fit a broadcast
+    by_item = hit.join(F.broadcast(of) if of.count() <= BLOCK else of, "win").select("id", "x", "item").distinct().groupBy("id", "x").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = spans.drop("wins").join(by_item.withColumnsRenamed({"id": "id1", "x": "x1"}), F.col("id").eqNullSafe(F.col("id1")) & F.col("x").eqNullSafe(F.col("x1")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) >= min_items).alias("contaminated"), *[F.col("x").alias("text_hash")] * with_hash)

@@ -263,6 +263,22 @@ def test_decontamination(small, spark, monkeypatch, block):
     assert sum(g[1] > 0 for g in got.values()) >= 5
 
 
+def test_decontamination_of_a_long_text(spark):
+    """A document of a million words takes about as long as the same words in short documents."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(1_000_000)]
+    bench = spark.createDataFrame([(1, " ".join(words[999_900:999_940])), (2, " ".join(words[10:18])), (3, "w1 w2 w3")], "item_id long, text string")
+    taken = []
+    for texts in ([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)], [" ".join(words)]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        began = time.time()
+        rows = decontam.contamination(docs, bench).collect()
+        taken.append(time.time() - began)
+        assert sum(r.n_hit for r in rows) >= 48
+        assert sum(r.n_words for r in rows) == 1_000_000
+    assert taken[1] < 3 * taken[0] + 10
+
+
 def test_shards(small, spark, tmp_path):
     rows = small.union(small.where("doc_id < 20")).union(small.where("doc_id = 3"))
     got = sharding.assign(rows, 3000).collect()
