@@ -296,8 +296,14 @@ def test_shards(small, spark, tmp_path):
         if s:
             above = [x for x in names if x.startswith(s[:-1])]
             assert sum(size[x] for x in above) > 3000
-    sharding.write(small, str(tmp_path / "out"), 3000)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == small.count()
+    more = rows.union(spark.createDataFrame([(None, "a b", "en", "x", "y")] * 2 + [(None, None, None, None, None), (1, "one", "", "", ""), (1, "two", "", "", "")], rows.schema))
+    sharding.write(more, str(tmp_path / "out"), 3000)
+    back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).selectExpr("*", "octet_length(coalesce(text, '')) n")
+    assert sorted(back.select(more.columns).collect(), key=str) == sorted(more.collect(), key=str)
+    shards = {r["shard"]: (r["b"], r["k"]) for r in back.groupBy("shard").agg(F.sum("n").alias("b"), F.count("*").alias("k")).collect()}
+    assert all(b <= 3000 or k == 1 for b, k in shards.values())
+    by = Counter(r.shard for r in sharding.assign(more, 3000).collect())
+    assert {f"b{s}": k for s, k in by.items()} == {s: k for s, (_, k) in shards.items()}
 
 
 def test_one_hot_row_is_spread(spark):
