@@ -42,10 +42,13 @@ def size_of(amount: Column, unit: Column, capacity: Column) -> Column:
 
 
 def _format(x: Column, step: int, units: tuple[str, ...], after: str) -> Column:
-    out = None
-    for k in range(len(units) - 1, -1, -1):
-        text = F.format_string(f"%.2f{units[k]}{after}", x.cast("double") / float(step**k))
-        out = F.when(x >= step**k, text) if out is None else (out.when(x >= step**k, text) if k else out.otherwise(text))
+    """Two decimals of the binary value, divided once a unit, half to even: as C's ``%.2f`` writes it."""
+    size, out = x.cast("double"), None
+    for unit in units:
+        text = F.concat(F.call_function("format_number", size, F.lit("0.00")), F.lit(f"{unit}{after}"))
+        small = size < step
+        out = F.when(small, text) if out is None else out.when(small, text) if unit != units[-1] else out.otherwise(text)
+        size = size / float(step)
     return out
 
 

@@ -76,16 +76,25 @@ def rect_edges(log: DataFrame, domain: list[str]) -> DataFrame:
     return edges.select(*domain, "pred", "succ", "kind").union(late.select(*domain, F.col("lw").alias("pred"), F.col("seq").alias("succ"), F.lit("RAW").alias("kind"))).distinct()
 
 
-def phases(log: DataFrame, key: list[str]) -> DataFrame:
+def phases(log: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     """The log with ``class`` (R, W or C: reads, sequential and concurrent writes) and ``phase``.
 
-    A phase is a run of equal class; each sequential or commutative write is one by itself.
+    A phase is a run of equal class; each sequential or commutative write is one by itself. Counted in two levels as in
+    :func:`epochs`: within blocks of program order, then over the blocks.
     """
     kind = F.when(~writes(), "R").when(F.col("concurrency") == "CONCURRENT", "C").otherwise("W")
-    order = Window.partitionBy(*key).orderBy("seq")
-    log = log.withColumn("class", kind)
-    new = (F.col("class") == "W") | F.coalesce(F.lag("class").over(order) != F.col("class"), F.lit(True))
-    return log.withColumn("phase", F.sum(new.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    log = log.withColumn("class", kind).withColumn("_b", F.floor(F.col("seq") / block).cast("long"))
+    inside = Window.partitionBy(*key, "_b").orderBy("seq")
+    new = (F.col("class") == "W") | F.coalesce(F.lag("class").over(inside) != F.col("class"), F.lit(False))
+    log = log.withColumn("_n", F.sum(new.cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # of a block: how many phases begin in it but for its first row, which may continue the block before
+    totals = log.groupBy(*key, "_b").agg(F.max("_n").alias("_t"), F.min_by("class", "seq").alias("_f"), F.max_by("class", "seq").alias("_l"))
+    order = Window.partitionBy(*key).orderBy("_b")
+    starts = (F.col("_f") != "W") & F.coalesce(F.lag("_l").over(order) != F.col("_f"), F.lit(True))
+    totals = totals.withColumn("_s", starts.cast("long"))
+    before = F.coalesce(F.sum(F.col("_t") + F.col("_s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*key, "_b", (before + F.col("_s")).alias("_o"))
+    return log.join(totals, [*key, "_b"]).withColumn("phase", F.col("_n") + F.col("_o")).drop("_b", "_n", "_o")
 
 
 def _consecutive(p: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder, or where there is none in one for tests."""
+    """Cut the lineage in the session's checkpoint folder. Only in local mode one is made where there is none."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or f"/tmp/taskloom-{uuid.uuid4().hex}")
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or f"/tmp/taskloom-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 
@@ -57,20 +61,27 @@ def levels(tasks: DataFrame, edges: DataFrame, every: int = 8) -> DataFrame:
 def descendants(tasks: DataFrame, parent: str = "parent") -> DataFrame:
     """(task, children, descendants) of a forest of (task, parent): whom a wait and a task group wait for.
 
-    One round for each level of the forest.
+    Down the forest one round for each level puts the tasks in levels, each task once; up again each level adds what
+    its children have counted. No pair of a task and a task far below is made.
     """
-    up = _checkpoint(tasks.select("task", F.col(parent).alias("p")).where("p is not null"))
-    pairs = up.select(F.col("p").alias("above"), "task", F.lit(1).alias("d"))
-    last = pairs
-    depth = 1
-    while True:
-        depth += 1
-        last = _checkpoint(last.select(F.col("above").alias("mid"), F.col("task").alias("low")).join(up.select(F.col("task").alias("mid"), F.col("p").alias("above")), "mid").select("above", F.col("low").alias("task"), F.lit(depth).alias("d")))
-        if last.isEmpty():
-            break
-        pairs = pairs.unionByName(last)
-    n = pairs.groupBy(F.col("above").alias("task")).agg(F.count_if(F.col("d") == 1).alias("children"), F.count("*").alias("descendants"))
-    return tasks.select("task").join(n, "task", "left").select("task", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("descendants", F.lit(0)).alias("descendants"))
+    up = _checkpoint(tasks.select("task", F.col(parent).alias("p")))
+    level = _checkpoint(up.where("p is null").select("task", "p").unionByName(up.where("p is not null").join(up.select(F.col("task").alias("p")), "p", "left_anti").select("task", "p")))
+    below = up.where("p is not null")
+    found = []
+    while not level.isEmpty():
+        found.append(level)
+        level = _checkpoint(below.join(level.select(F.col("task").alias("p")), "p").select("task", "p"))
+    counted, done = None, None
+    for level in reversed(found):
+        own = level.select("task", "p", F.lit(0).cast("long").alias("children"), F.lit(0).cast("long").alias("descendants"))
+        if counted is not None:
+            sums = counted.groupBy(F.col("p").alias("task")).agg(F.count("*").alias("children"), F.sum(F.col("descendants") + 1).alias("descendants"))
+            own = level.join(sums, "task", "left").select("task", "p", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("descendants", F.lit(0)).alias("descendants"))
+        counted = _checkpoint(own)
+        done = counted if done is None else done.unionByName(counted)
+    if done is None:
+        return tasks.select("task", F.lit(0).cast("long").alias("children"), F.lit(0).cast("long").alias("descendants"))
+    return done.select("task", "children", "descendants")
 
 
 def reachable(tasks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Axis units of a block of begins that is sorted by one task.
+BLOCK = 1 << 20
+
+
 def length(a: Column, b: Column) -> Column:
     return b - a
 
@@ -28,13 +32,28 @@ def before(a: Column, b: Column, c: Column, d: Column) -> Column:
     return b <= c
 
 
-def fill(rows: DataFrame, key: list[str]) -> DataFrame:
+def _reach(rows: DataFrame, key: list[str], width: int) -> DataFrame:
+    """Non-empty intervals with ``_r``, the furthest end of those of the key that come before in order of (a, b).
+
+    Counted in two levels, within blocks of ``width`` of begins and over the blocks' ends, so that the intervals of
+    one key are sorted by many tasks.
+    """
+    rows = rows.select(*key, "a", "b").where("a < b").withColumn("_k", F.floor(F.col("a") / width).cast("long"))
+    ends = rows.groupBy(*key, "_k").agg(F.max("b").alias("_e"))
+    earlier = Window.partitionBy(*key).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*key, "_k", F.max("_e").over(earlier).alias("_e"))
+    inside = Window.partitionBy(*key, "_k").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(ends, [*key, "_k"]).withColumn("_r", F.greatest(F.max("b").over(inside), F.col("_e"))).drop("_k", "_e")
+
+
+def fill(rows: DataFrame, key: list[str], width: int = BLOCK) -> DataFrame:
     """Union of each key's intervals. Overlapping ones become one; touching ones stay apart."""
-    order = Window.partitionBy(*key).orderBy("a", "b")
-    prior = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*key, "a", "b").where("a < b").withColumn("_new", (F.col("a") >= F.coalesce(prior, F.col("a"))).cast("long"))
-    island = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*key, "_i").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_i")
+    marked = _reach(rows, key, width)
+    # an island begins where nothing before reaches; it ends with the furthest end before the next begin
+    heads = marked.where((F.col("a") >= F.col("_r")) | F.col("_r").isNull()).select(*key, "a", "_r")
+    last = rows.where("a < b").groupBy(*key).agg(F.max("b").alias("_z"))
+    order = Window.partitionBy(*key).orderBy("a")
+    return heads.join(last, key).select(*key, "a", F.coalesce(F.lead("_r").over(order), F.col("_z")).alias("b"))
 
 
 def unfill(rows: DataFrame, holes: DataFrame, key: list[str]) -> DataFrame:
@@ -63,9 +82,16 @@ def gaps(rows: DataFrame, key: list[str], lo: int, hi: int) -> DataFrame:
     return every.where("x < y").select(*key, F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def find(stored: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
-    """Stored intervals that intersect a query [qa, qb) of their key, whole."""
-    return queries.join(stored, key).where(intersects(F.col("a"), F.col("b"), F.col("qa"), F.col("qb")))
+def find(stored: DataFrame, queries: DataFrame, key: list[str], width: int = 64) -> DataFrame:
+    """Stored intervals that intersect a query [qa, qb) of their key, whole; by buckets of ``width`` as in :func:`overlap`."""
+
+    def spread(df: DataFrame, a: str, b: str) -> DataFrame:
+        first, last = F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)
+        return df.where(F.col(a) < F.col(b)).withColumn("_w", F.explode(F.sequence(first, last)))
+
+    both = spread(queries, "qa", "qb").join(spread(stored, "a", "b"), [*key, "_w"])
+    own = F.floor(F.greatest("a", "qa") / width) == F.col("_w")
+    return both.where(intersects(F.col("a"), F.col("b"), F.col("qa"), F.col("qb")) & own).drop("_w")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: list[str], width: int, on_left: str = "id", on_right: str = "id") -> DataFrame:

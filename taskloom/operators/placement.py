@@ -120,7 +120,7 @@ def route(valid: DataFrame, ranks: DataFrame) -> DataFrame:
 
     ``valid``: (block, dst, device) rows of the devices with a valid replica.
     """
-    known = valid.join(F.broadcast(ranks.select("dst", F.col("src").alias("device"), "rank")), ["dst", "device"], "left")
+    known = valid.join(ranks.select("dst", F.col("src").alias("device"), "rank"), ["dst", "device"], "left")  # the optimizer broadcasts ranks if they are few
     score = F.when(F.col("device") == F.col("dst"), -1).when(F.col("rank").between(0, 2), F.col("rank")).otherwise(3)
     return known.groupBy("block", "dst").agg(F.min(F.struct(score.alias("s"), F.col("device").alias("d"))).alias("m")).select("block", "dst", F.col("m.d").alias("src"))
 
@@ -140,8 +140,3 @@ def elect(devices: int, suggested: Column, owned: Column, target: Column) -> Col
     rest = t.bitwiseAND(F.lit(~1))
     lowest = rest.bitwiseAND(-rest)
     return F.when(t == host, F.lit(0)).otherwise(F.bit_count(lowest - 1).cast("int"))
-
-
-def ntile_bounds(df: DataFrame, order: str, n: int) -> DataFrame:
-    """(tile, a, b): bounds of the n parts of the ordered rows; for checks on small tables."""
-    return df.withColumn("tile", F.ntile(n).over(Window.orderBy(order))).groupBy("tile").agg(F.min(order).alias("a"), F.max(order).alias("b"))

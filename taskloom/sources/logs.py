@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A log line: time, thread, label, address and state of a task. The case doesn't matter.
-LINE = r"(?i)\[\s*([0-9.]+)\s*\].*?\[TID=\s*(\d+)\s*\].*?task `([^`]*)` of addr `(0x[0-9a-f]+)` is now in state `([^`]*)`"
+# The form of a line that logs a task's state, with time, thread, label, address and state.
+LINE = r"(?i)\[(\d+\.\d+)\]\s+\[TID=(\d+)\].*?task\s+`([^`]+)`\s+of addr\s+`(0x[0-9a-f]+)`\s+is now in state\s+`(\w+)`"
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(tid, label, addr, time, state in lower case) of the lines that are of this form; others are dropped."""
+    """(tid, label, addr, time, state in lower case) of the lines that are of this form.
+
+    Others are dropped, and so are those whose thread number is no int.
+    """
     part = lambda k: F.regexp_extract(column, LINE, k)
     hit = lines.where(F.regexp_like(F.col(column), F.lit(LINE)))
-    return hit.select(part(2).cast("int").alias("tid"), part(3).alias("label"), part(4).alias("addr"), part(1).cast("double").alias("time"), F.lower(part(5)).alias("state"))
+    rows = hit.select(part(2).try_cast("int").alias("tid"), part(3).alias("label"), part(4).alias("addr"), part(1).try_cast("double").alias("time"), F.lower(part(5)).alias("state"))
+    return rows.where("tid is not null and time is not null")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom.functions import scalar, trace
-from taskloom.operators import coherence, graph, intervals, kernels, placement, rects
+from taskloom.operators import coherence, deps, graph, intervals, kernels, placement, rects
 from taskloom.operators.registry import Registry
 from taskloom.sources import files, logs
 
@@ -192,3 +192,59 @@ def test_streamed_edges_equal_the_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("edges").collect()}
     expected = {(r.handle, r.pred, r.succ, r.kind) for r in deps.handle_edges(spark.createDataFrame(rows, kind), ["handle"]).collect()}
     assert got == expected
+
+
+def test_units_as_c_writes_them(spark):
+    """Two decimals of the binary value, half to even: ties, near ties and large numbers."""
+    rng = random.Random(3)
+    xs = [0, 125, 999, 1000, 1005, 1015, 1023, 1024, 1125, 1375, 15625, 16000, 614125, 2**60, 2**63 - 1] + [rng.randrange(2 ** rng.randrange(1, 63)) for _ in range(300)]
+
+    def written(x, step, units):
+        v, k = float(x), 0
+        while v >= step and k < len(units) - 1:
+            v, k = v / step, k + 1
+        return f"{v:.2f}{units[k]}"
+
+    rows = spark.createDataFrame([(x,) for x in xs], "x long").select("x", scalar.format_bytes(F.col("x")).alias("b"), scalar.format_time(F.col("x")).alias("t")).collect()
+    assert [(r.b, r.t) for r in rows] == [(written(r.x, 1024, scalar.BYTE_UNITS), written(r.x, 1000, scalar.TIME_UNITS)) for r in rows]
+
+
+def test_log_lines_of_another_form(spark):
+    good = "[12.5] [TID=7] task `a b` of addr `0xAf` is now in state `Ready`"
+    bad = [good.replace("12.5", "1.2.3"), good.replace("12.5", "12"), good.replace("TID=7", "TID=99999999999"), good.replace("a b", ""), good.replace("0xAf", "Af"), good.replace("Ready", "not ready"), "", None]
+    rows = logs.parse(spark.createDataFrame([(x,) for x in [good, f"x {good} y", *bad]], "value string")).collect()
+    assert [tuple(r) for r in rows] == [(7, "a b", "0xAf", 12.5, "ready")] * 2
+
+
+@pytest.mark.parametrize("width", [1, 7, 1 << 20])
+def test_fill_in_blocks(spark, width):
+    rng = random.Random(width)
+    rows = [(k, a, a + rng.randrange(0, 9)) for k in range(3) for a in (rng.randrange(-60, 60) for _ in range(30))]
+    expected = []
+    for key in range(3):
+        end = None
+        for a, b in sorted((a, b) for k, a, b in rows if k == key and a < b):
+            if end is None or a >= end:
+                expected.append([key, a, b])
+            end = b if end is None else max(end, b)
+            expected[-1][2] = end
+    got = intervals.fill(spark.createDataFrame(rows, "key long, a long, b long"), ["key"], width).select("key", "a", "b").collect()
+    assert sorted(map(list, got)) == sorted(expected)
+
+
+@pytest.mark.parametrize("block", [1, 4, 1 << 16])
+def test_phases_in_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(h, s, rng.choice([1, 1, 2]), rng.choice(["CONCURRENT", "SEQUENTIAL"])) for h in range(3) for s in sorted(rng.sample(range(90), 40))]
+    expected = {}
+    for handle in range(3):
+        phase, last = 0, None
+        for h, s, mode, conc in rows:
+            if h == handle:
+                kind = "R" if mode == 1 else "C" if conc == "CONCURRENT" else "W"
+                phase += kind == "W" or kind != last
+                last = kind
+                expected[(h, s)] = phase
+    got = {(r.handle, r.seq): r.phase for r in deps.phases(spark.createDataFrame(rows, "handle long, seq long, mode int, concurrency string"), ["handle"], block).collect()}
+    first = {h: min(p for (k, _), p in got.items() if k == h) for h in range(3)}
+    assert {k: p - first[k[0]] + 1 for k, p in got.items()} == expected
