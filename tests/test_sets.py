@@ -134,7 +134,7 @@ def test_sizes(spark, text, expected):
 
 
 def test_log_to_gantt(spark, tmp_path):
-    lines = [f"[{t}] [TID={i}] [debug] task `t{i}` of addr `0xA{i % 2}` is now in state `{s}`" for t, i, s in ((1, 0, "Executing"), (2, 2, "executing"), (3, 0, "completed"), (4, 1, "completed"), (5, 2, "completed"))]
+    lines = [f"[{t}.0] [TID={i}] [debug] task `t{i}` of addr `0xA{i % 2}` is now in state `{s}`" for t, i, s in ((1, 0, "Executing"), (2, 2, "executing"), (3, 0, "completed"), (4, 1, "completed"), (5, 2, "completed"))]
     (tmp_path / "log").write_text("\n".join([*lines, "other"]))
     rows = logs.read(spark, str(tmp_path / "log"))
     assert rows.count() == 5
