@@ -5,13 +5,15 @@ prompt; the turns after it are the completions, with the character spans that ar
 say and its end mark. Prompts, headers and other roles are masked.
 
 Turns are compared by hash, with a row for each pair and turn, so a very long conversation is spread over its
-turns; the first turn that differs, or that one side lacks, is a minimum for each pair. The text comes in
-blocks of BLOCK turns, one row for each pair and block, so no group grows with the data: a pair of
-conversations of fewer turns has one row.
+turns; the first turn that differs, or that one side lacks, is a minimum for each pair. The texts of a pair come
+together in one row, which is what a preference pair is; Spark's limit of 2 GB for a value is the limit for a pair.
+For longer ones ``block`` cuts the output (not the comparison) into a row for each so many turns, numbered by
+``block``, whose spans count from the begin of their row.
 
 Null texts and roles are empty, null turns come before turn 0. Repeated rows count once. Different rows of one
 turn are in order of role and text. A side without rows has no turns, so all turns of the other side are its
-completion. ``differ`` is false where both sides are the same. Extra columns are ignored.
+completion. ``differ`` is false where both sides are the same. Extra columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 
 from taskloom.llm.common import prepare
 
-BLOCK = 256
 HEAD, AFTER_ROLE, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -44,11 +45,11 @@ def _render(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit(HEAD), m["role"], F.lit(AFTER_ROLE), m["text"], F.lit(END))), "")
 
 
-def preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row for each pair and block: pair_id, block, prompt, chosen, rejected, chosen_spans, rejected_spans, prompt_turns, differ.
+def preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int | None = None) -> DataFrame:
+    """A row for each pair: pair_id, prompt, chosen, rejected, chosen_spans, rejected_spans, prompt_turns, differ.
 
     ``pair`` gives a row's pair, ``chosen`` whether the row is of the chosen side. ``prompt_turns`` counts the
-    turns of the whole prompt.
+    turns of the whole prompt. With ``block``, a row for each pair and block of so many turns, and its number.
     """
     prepare(turns.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -63,7 +64,7 @@ def preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col: str =
     early = early.select(F.col("p").alias("q"), "prompt_turns")
     rows = rows.join(fork, F.col("pair_id").eqNullSafe(F.col("p"))).join(early, F.col("pair_id").eqNullSafe(F.col("q")), "left")
     rows = rows.withColumn("part", F.when(F.col("fork").isNull() | (F.col("turn") < F.col("fork")), F.when(F.col("side"), F.lit("prompt"))).when(F.col("side"), F.lit("chosen")).otherwise("rejected")).where("part is not null")
-    block = F.floor(F.col("turn") / BLOCK).cast("long")
+    keys = [F.col("pair_id")] if block is None else [F.col("pair_id"), F.floor(F.col("turn") / block).cast("long").alias("block")]
     listed = [F.sort_array(F.collect_list(F.when(F.col("part") == n, F.struct("turn", "role", "text")))).alias(n) for n in ("prompt", "chosen", "rejected")]
-    out = rows.groupBy("pair_id", block.alias("block")).agg(*listed, F.first(F.coalesce("prompt_turns", F.lit(0))).alias("prompt_turns"), F.first(F.col("fork").isNotNull()).alias("differ"))
-    return out.select("pair_id", "block", _render(F.col("prompt")).alias("prompt"), _render(F.col("chosen")).alias("chosen"), _render(F.col("rejected")).alias("rejected"), _spans(F.col("chosen")).alias("chosen_spans"), _spans(F.col("rejected")).alias("rejected_spans"), F.col("prompt_turns").cast("long").alias("prompt_turns"), "differ")
+    out = rows.groupBy(*keys).agg(*listed, F.first(F.coalesce("prompt_turns", F.lit(0))).alias("prompt_turns"), F.first(F.col("fork").isNotNull()).alias("differ"))
+    return out.select("pair_id", *["block"] * (block is not None), _render(F.col("prompt")).alias("prompt"), _render(F.col("chosen")).alias("chosen"), _render(F.col("rejected")).alias("rejected"), _spans(F.col("chosen")).alias("chosen_spans"), _spans(F.col("rejected")).alias("rejected_spans"), F.col("prompt_turns").cast("long").alias("prompt_turns"), "differ")

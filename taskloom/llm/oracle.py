@@ -23,11 +23,11 @@ f AS (SELECT pair_id, min(turn) FILTER (a IS DISTINCT FROM b) AS fork FROM t GRO
 k AS (SELECT pair_id, any_value(fork) AS fork, count(*) FILTER (fork IS NULL OR turn < fork) AS prompt_turns FROM t JOIN f USING (pair_id) GROUP BY pair_id),
 m AS (SELECT r.*, fork, prompt_turns, CASE WHEN fork IS NULL OR turn < fork THEN CASE WHEN side THEN 'prompt' END WHEN side THEN 'chosen' ELSE 'rejected' END AS part, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s,
 length(role) + 5 AS head, length(text) + 8 AS body FROM r JOIN k USING (pair_id)),
-o AS (SELECT *, CAST(floor(turn / 256) AS BIGINT) AS block, sum(head + body) OVER (PARTITION BY pair_id, part, CAST(floor(turn / 256) AS BIGINT) ORDER BY turn, role, text) AS upto FROM m WHERE part IS NOT NULL)
-SELECT pair_id, block, coalesce(string_agg(s, '' ORDER BY turn, role, text) FILTER (part = 'prompt'), '') AS prompt, coalesce(string_agg(s, '' ORDER BY turn, role, text) FILTER (part = 'chosen'), '') AS chosen, coalesce(string_agg(s, '' ORDER BY turn, role, text) FILTER (part = 'rejected'), '') AS rejected,
+o AS (SELECT *, sum(head + body) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text) AS upto FROM m WHERE part IS NOT NULL)
+SELECT pair_id, coalesce(string_agg(s, '' ORDER BY turn, role, text) FILTER (part = 'prompt'), '') AS prompt, coalesce(string_agg(s, '' ORDER BY turn, role, text) FILTER (part = 'chosen'), '') AS chosen, coalesce(string_agg(s, '' ORDER BY turn, role, text) FILTER (part = 'rejected'), '') AS rejected,
 coalesce(string_agg(CAST(upto - body AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY turn, role, text) FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_spans,
 coalesce(string_agg(CAST(upto - body AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY turn, role, text) FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_spans,
-any_value(prompt_turns) AS prompt_turns, any_value(fork IS NOT NULL) AS differ FROM o GROUP BY pair_id, block
+any_value(prompt_turns) AS prompt_turns, any_value(fork IS NOT NULL) AS differ FROM o GROUP BY pair_id
 """
 
 DECONTAMINATION = r"""

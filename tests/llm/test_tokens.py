@@ -251,7 +251,13 @@ def test_preferences(spark):
         (2, 0, "user", None), (2, 1, "assistant", "a"), (4, 0, "user", "x"), (5, 0, "user", "x"),
     ] + [(k, t, "user", f"t{t}" if k == 6 or t != 700 else "other") for k in (6, 7) for t in range(1000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("x"))
-    got = {(r.pair_id, r.block): r for r in chat.preferences(df, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect()}
+    whole = {r.pair_id: r for r in chat.preferences(df, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect()}
+    got = {(r.pair_id, r.block): r for r in chat.preferences(df, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0, block=256).collect()}
+    assert sorted(whole) == [0, 1, 2, 3]
+    for pair in range(3):
+        assert whole[pair].asDict() == {k: v for k, v in got[(pair, 0)].asDict().items() if k != "block"}
+    for part in ("prompt", "chosen", "rejected"):
+        assert whole[3][part] == "".join(got[(3, k)][part] for k in range(4))
     one = got[(0, 0)]
     assert one.prompt == "<|system|>\nbe kind<|end|>\n<|user|>\nhi<|end|>\n"
     assert one.chosen == "<|assistant|>\nyes<|end|>\n<|user|>\nok<|end|>\n"
