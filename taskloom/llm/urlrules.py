@@ -4,7 +4,8 @@ A rule is a host and a path. It fits the urls of its host and of all subdomains
 rule's. Host labels in reverse order before the path make a canonical key, in which a rule is the interval of
 the keys that start with its own. A url has such a key for its host and for each parent domain, as far up as
 rules have labels. The keys of a batch are sorted and swept together with the sorted rules; a stack holds the
-nested rules that are active, of which the top is the longest. Of the rules at a url's several keys the one
+nested rules that are active, of which the top is the longest. The sweep leaps by bisection over rules that lie
+between two keys, so a batch costs its own size times the logarithm of the number of rules. Of the rules at a url's several keys the one
 with the longest text wins, then the one with the longer host.
 
 Rules are broadcast in blocks of RULES_AT_ONCE; each further block is one more pass over the urls, without a
@@ -12,11 +13,13 @@ shuffle, so there can be any number of them. Batches are swept by themselves, so
 is spread as its rows are.
 
 Null urls and urls without :// have an empty host and path and fit no rule. Repeated rows have a row each.
-Extra columns are ignored.
+Very long urls are taken whole. Ties between rules of equal text and host go to the last in order of the verdict.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,19 +46,32 @@ def keys(host: str, path: str, labels: int) -> list[str]:
     return [".".join(reversed(own[-n:])) + _END + path for n in range(1, min(labels, len(own)) + 1)] if host else []
 
 
-def sweep(urls: list[tuple[str, int]], rules: list[tuple[str, int]]) -> Iterator[tuple[int, int]]:
-    """(number of the url, number of the longest rule) where one fits. Both lists are in order of their keys."""
-    stack: list[tuple[str, int]] = []
-    at = 0
-    for key, url in urls:
-        while stack and not key.startswith(stack[-1][0]):
+def parents(keys: list[str]) -> list[int]:
+    """Of sorted keys, for each the last one before it that it starts with, or -1: the nesting of the intervals."""
+    out, stack = [], []
+    for i, key in enumerate(keys):
+        while stack and not key.startswith(keys[stack[-1]]):
             stack.pop()
-        while at < len(rules) and rules[at][0] <= key:
-            if key.startswith(rules[at][0]):
-                stack.append(rules[at])
-            at += 1
-        if stack:
-            yield url, stack[-1][1]
+        out.append(stack[-1] if stack else -1)
+        stack.append(i)
+    return out
+
+
+def sweep(urls: list[tuple[str, int]], rules: list[str], parent: list[int]) -> Iterator[tuple[int, int]]:
+    """(number of the url, number of the longest rule) where one fits. Both lists are in order of their keys.
+
+    The stack of active rules is a path in their nesting, so only its top is kept. Where many rules lie between two
+    urls the sweep leaps over them by bisection: what is active then hangs together with the last rule before the url.
+    """
+    at, top = 0, -1
+    for key, url in urls:
+        if at < len(rules) and rules[at] <= key:
+            at = bisect_right(rules, key, at)
+            top = at - 1
+        while top >= 0 and not key.startswith(rules[top]):
+            top = parent[top]
+        if top >= 0:
+            yield url, top
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -82,13 +98,14 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, default: str = DEFAULT, i
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             own = block.value
-            starts = [(r[0], i) for i, r in enumerate(own)]
+            starts = [r[0] for r in own]
+            nesting = parents(starts)
             labels = max(r[2].count(".") + 1 for r in own)
             for batch in batches:
                 hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 rule, verdict, size, length = (batch.column(k).to_pylist() for k in (3, 4, 5, 6))
                 urls = sorted((key, i) for i, (h, p) in enumerate(zip(hosts, paths, strict=True)) for key in keys(h, p, labels))
-                for i, r in sweep(urls, starts):
+                for i, r in sweep(urls, starts, nesting):
                     _, v, h, p = own[r]
                     if (len(h) + len(p), len(h)) > (size[i], length[i]):
                         rule[i], verdict[i], size[i], length[i] = h + p, v, len(h) + len(p), len(h)
