@@ -59,7 +59,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.counts(table(spark, sf_dir, "documents"), tokenizer_path())
+    return unigram.counts(table(spark, sf_dir, "documents"), unigram.vocabulary(tokenizer_path()))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,13 +94,31 @@ def test_unigram_counts(small):
     own = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for i in range(n)]
     low = min(sp.get_score(i) for i in range(n) if own[i])
     library = Tokenizer(models.Unigram([(sp.id_to_piece(i), sp.get_score(i) if own[i] else low) for i in range(n)], unk_id=0, byte_fallback=True))
-    counter = unigram.Counter(open(PATH, "rb").read())
+    counter = unigram.Counter(unigram.vocabulary(PATH))
     expected = lambda t: len(library.encode("▁" + t.replace(" ", "▁")).ids) if t else 0
-    for t in random_texts(800, 40, 6):
-        assert counter.count(t)[0] == expected(t)
+    some = random_texts(800, 40, 6) + ["x" * 200, "th" * 90 + " é" * 80, "日" * 100]
+    assert counter.count(some)[0].tolist() == [expected(t) for t in some]
     texts = {r.doc_id: r.text for r in small.collect()}
-    assert {r.doc_id: r.n_tokens for r in unigram.counts(small, PATH).collect()} == {i: expected(t) for i, t in texts.items()}
-    assert unigram.counts(small.limit(0), PATH).count() == 0
+    assert {r.doc_id: r.n_tokens for r in unigram.counts(small, unigram.vocabulary(PATH)).collect()} == {i: expected(t) for i, t in texts.items()}
+    assert unigram.counts(small.limit(0), unigram.vocabulary(PATH)).count() == 0
+
+
+@pytest.mark.parametrize("long", [0, 8, 64])
+def test_unigram_ties(monkeypatch, long):
+    """Scores that tie nearly everywhere: counts and scores are those of the tokenizer, short words and long ones alike."""
+    from tokenizers import Tokenizer, models
+
+    monkeypatch.setattr(unigram, "LONG", long)
+    rng = random.Random(long)
+    for _ in range(6):
+        names = {"▁", *"abc"} | {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 5))) for _ in range(12)} | {"▁" + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 3))) for _ in range(4)}
+        pieces = [(p, -float(len(p) if rng.random() < 0.8 else rng.randrange(1, 4))) for p in sorted(names)]
+        library = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
+        texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randrange(0, 14))) for _ in range(rng.randrange(1, 6))) for _ in range(150)]
+        got = unigram.Counter(pieces).count(texts)
+        for i, t in enumerate(texts):
+            tokens = library.encode("▁" + t.replace(" ", "▁")).tokens if t else []
+            assert (got[0][i], got[1][i]) == (len(tokens), sum(dict(pieces)[x] for x in tokens))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="page">
