@@ -51,7 +51,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sufdedup.dedup(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
+    return sufdedup.dedup(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,9 +119,10 @@ def dedup_brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [20_000, 1])
-def test_dedup(small, monkeypatch, group):
+@pytest.mark.parametrize(("group", "hot"), [(20_000, 10_000), (1, 10_000), (20_000, 3)])
+def test_dedup(small, monkeypatch, group, hot):
     monkeypatch.setattr(sufdedup, "GROUP", group)
+    monkeypatch.setattr(sufdedup, "HOT", hot)
     rows = small.orderBy("doc_id").collect()
     expected = dedup_brute([(r.text or "").encode() for r in rows], 200)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sufdedup.dedup(small).collect()}
