@@ -312,7 +312,7 @@ def _classes(sketches: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """A row for each input row: r (its :func:`row_key`), doc (the id), n, comp (a key of the component, null without n-grams), component_id."""
+    """A stored row for each input row: r (its :func:`row_key`), doc (the id), n, comp (a key of the component, null without n-grams), component_id."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(row_key(id_col, text_col).alias("r"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -415,4 +415,6 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     of = classes.join(comp, classes["c"] == comp["node"], "left").select("digest", "doc", F.coalesce("comp", classes["c"]).alias("comp"))
     names = of.groupBy("comp").agg(F.min("doc").alias("component_id"))
     out = sketches.select("r", "doc", "digest", "n").join(of.drop("doc").join(names, "comp"), "digest", "left")
-    return out.select("r", "doc", "n", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    out = store(out.select("r", "doc", "n", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")))
+    discard(sketches, classes, comp)
+    return out

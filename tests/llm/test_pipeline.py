@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from taskloom.llm import queries
 from taskloom.llm.common import store
@@ -45,6 +47,29 @@ def test_rows_without_an_id_and_of_one_id(spark, tmp_path):
     assert listed(left) == sorted([rows[i] for i in (0, 3, 4, 5, 7, 10)], key=str)
 
 
+def test_empty_tables_and_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"longish{i}" for i in range(30_000))
+    rows = [(None, None, None, None, None), (1, None, None, "s", 0), (2, "", None, None, 0), (2, "", None, None, 0), (3, long, None, None, None), (None, long + " x", "en", None, 9)]
+    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = store(stage(spark, docs.withColumn("r", F.lit(1)).withColumn("kept", F.lit("x")), str(tmp_path)))
+            if name != "sentencepiece_encoding":
+                assert out.columns == corpus_pipeline.COLUMNS
+            if docs.isEmpty():
+                assert out.isEmpty()
+            elif name == "quality_rules":
+                assert {r.doc_id for r in out.collect()} == {3, None}
+                assert out.count() == 2
+            elif name == "ngram_jaccard_join":
+                assert sorted((str(r.doc_id), str(r.text)[:4]) for r in out.collect()) == [("1", "None"), ("2", ""), ("3", "long"), ("None", "None")]
+            elif name == "sentencepiece_encoding":
+                assert sorted(r.n_tokens for r in out.collect())[:4] == [1, 1, 1, 1]
+            else:
+                assert out.count() == len(rows)
+
+
 def test_each_operator_has_its_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
