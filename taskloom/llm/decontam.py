@@ -9,7 +9,8 @@ then extended to the whole window, word by word, and only full windows count.
 An item with fewer words than a window is one window of all its words. Its fingerprint is its first word.
 
 A fingerprint's row has its place and the few words around it, not the text, so the work is linear in a text's length;
-rows that meet no fingerprint of the benchmark end in the join, which is before any shuffle.
+most fingerprints that the benchmark hasn't are told by a set of bits before they become rows, and the others end in
+the join, which is before any shuffle.
 
 The benchmark's windows are broadcast, in blocks of at most BLOCK rows, and the documents are read once for
 each block, so a benchmark of any size is compared in full. One block holds about 20,000 items of 50 words.
@@ -22,6 +23,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,8 @@ GRAM = 5
 SPAN = WINDOW - GRAM + 1
 #: Rows of benchmark windows in a broadcast at most, of about 60 bytes each.
 BLOCK = 1_000_000
+#: Bits of fingerprints in the set that is asked before a row is made; a larger set would only save more rows.
+BITS = 18
 #: ASCII that isn't part of a word.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,8 +55,23 @@ def _grams(h: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(h) - (GRAM - 1)), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(GRAM)]))
 
 
-def _fingerprints(h: Column, g: Column) -> Column:
-    """(place, hash) of each gram that is the least of a window, once; empty for fewer words than a window."""
+def _bits(table: DataFrame) -> Column:
+    """The last BITS bits of all fingerprints of a table as a set: an array of longs of 64 bits each, 32 KB in all."""
+    cell = F.col("fp").bitwiseAND((1 << BITS) - 1)
+    words = table.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), cell.bitwiseAND(63).cast("int"))).alias("w"))
+    found = {r.k: r.w for r in words.collect()}
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(1 << (BITS - 6)))), ",").cast("array<bigint>")
+
+
+def _maybe(bits: Column, fp: Column) -> Column:
+    """Whether a fingerprint may be one of the table's: most others end here, before a row is made of them."""
+    cell = fp.bitwiseAND((1 << BITS) - 1)
+    word = F.get(bits, F.shiftright(cell, 6).cast("int"))
+    return F.call_function("shiftright", word, cell.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
+def _fingerprints(h: Column, g: Column, also: Callable[[Column], Column]) -> Column:
+    """Places of the grams that are the least of a window and meet ``also``; none for fewer words than a window."""
     size = F.size(g)
     near = range(1, SPAN)
 
@@ -65,7 +84,7 @@ def _fingerprints(h: Column, g: Column) -> Column:
         right = reduce(lambda rest, ok: F.when(ok, rest + 1).otherwise(0), reversed(after), F.lit(0))
         return left + right >= SPAN - 1
 
-    places = F.filter(F.sequence(F.lit(0), size - 1), least)
+    places = F.filter(F.sequence(F.lit(0), size - 1), lambda i: also(i) & least(i))
     return F.when(size >= SPAN, places).otherwise(F.array().cast("array<int>"))
 
 
@@ -110,10 +129,12 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     around = SPAN - 1
     none = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("bigint").alias("fp"), F.array().cast("array<bigint>").alias("c")))
 
-    def hits(at: Column, table: DataFrame) -> DataFrame:
+    def hits(places: Callable[[Column], Column], fp: Callable[[Column], Column], table: DataFrame) -> DataFrame:
         """Starts of the windows in the documents, and a row (start null) for each document as well.
 
         A fingerprint at p has in c the words from p - around on, null where the text has none."""
+        bits = _bits(table)
+        at = F.transform(places(bits), lambda i: place(i, fp(i)))
         # the number of words is made before the rows are, or each of them would have the whole text beside it
         seeds = base.select("id", "x", F.size("h").alias("words"), F.concat(none, at).alias("at")).select("id", "x", "words", F.explode("at").alias("e")).select("id", "x", "words", "e.*")
         every = docs.sparkSession.createDataFrame([(None, 0, 0, 0)], "win long, n int, o int, fp long")
@@ -128,17 +149,22 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         # not a slice: that would copy the whole array for each place
         return F.struct(i.alias("p"), fp.alias("fp"), F.array(*[F.get("h", i + k) for k in range(-around, WINDOW)]).alias("c"))
 
-    seeds_full = F.transform(_fingerprints(F.col("h"), F.col("g")), lambda i: place(i, F.get("g", i)))
-    seeds_short = F.transform("h", lambda v, i: place(i, v))
+    def full_places(bits: Column) -> Column:
+        return _fingerprints(F.col("h"), F.col("g"), lambda i: _maybe(bits, F.get("g", i)))
+
+    def short_places(bits: Column) -> Column:
+        every = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(every, lambda i: _maybe(bits, F.get("h", i)))
+
     found = []
-    for rows, at in ((prints, seeds_full), (short, seeds_short)):
+    for rows, places, fp in ((prints, full_places, lambda i: F.get("g", i)), (short, short_places, lambda i: F.get("h", i))):
         count = rows.count()
         if count == 0 and (rows is short):
             continue
         blocks = -(-count // BLOCK) or 1
         for b in range(blocks):
             table = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
-            found.append(hits(at, table))
+            found.append(hits(places, fp, table))
     found = reduce(DataFrame.unionAll, found)
     spans = found.groupBy("id", "x").agg(F.max("words").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", (F.col("s") + F.col("n")).alias("e"))))).alias("r"), F.collect_set("win").alias("wins"))
     # each span adds what is past the furthest end so far
