@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -100,6 +101,15 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def give_back() -> None:
+    """What this process has allocated and freed goes back to the system, where Arrow and the C library (glibc) can do so."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
     prepare(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -137,7 +137,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         at = F.transform(places(bits), lambda i: place(i, fp(i)))
         # the number of words is made before the rows are, or each of them would have the whole text beside it
         seeds = base.select("id", "x", F.size("h").alias("words"), F.concat(none, at).alias("at")).select("id", "x", "words", F.explode("at").alias("e")).select("id", "x", "words", "e.*")
-        every = docs.sparkSession.createDataFrame([(None, 0, 0, 0)], "win long, n int, o int, fp long")
+        # not createDataFrame: its rows pass through Python workers of another kind, which stay on the executors
+        every = docs.sparkSession.range(0, 1, 1, 1).selectExpr("cast(null as long) win", "0 n", "0 o", "0L fp")
         same = seeds.join(F.broadcast(table.unionByName(every).withColumnRenamed("fp", "fp2")), F.col("fp") == F.col("fp2"))
         begin = F.col("p") - F.col("o")
         window = F.slice("c", around - F.col("o") + 1, F.greatest(F.col("n"), F.lit(0)))

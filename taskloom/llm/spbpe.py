@@ -15,6 +15,9 @@ What isn't in the vocabulary falls back to bytes.
 Models must be BPE with byte fallback, the identity normaliser, a dummy prefix and kept white space, and have
 no user-defined or unused pieces; others are refused.
 
+A Python worker outlives its task, beside the tasks of other stages. So the words that a task remembers go when it ends,
+and what the worker has free goes back to the system.
+
 Null is an empty text. Texts of any length are encoded whole. Repeated rows have a row each. Extra columns are
 ignored.
 """
@@ -31,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import prepare, ragged
+from taskloom.llm.common import give_back, prepare, ragged
 
 MARK = "▁"
-#: Words that a Python worker remembers, and their symbols; beyond it starts anew.
-CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
-#: Characters of text that are encoded together.
-PART_CHARS = 1 << 19
+#: Words that a task remembers (some 35 MB), and their symbols; beyond it starts anew.
+CACHE_WORDS, CACHE_IDS = 200_000, 2_000_000
+#: Characters of text that are encoded together. Arrays of the rounds and of the digests take some 80 bytes of each.
+PART_CHARS = 1 << 17
 #: Symbols of a part whose rounds run over the whole array at most.
 LONG = 256
 _INF = np.iinfo(np.int64).max
@@ -347,6 +350,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(proto.value)
+        try:
+            yield from encoded(model, batches)
+        finally:
+            model.forget()
+            give_back()
+
+    def encoded(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column(1).to_pylist()
             for lo, hi in parts(whole):

@@ -264,6 +264,16 @@ def test_decontamination(small, spark, monkeypatch, block):
     assert sum(g[1] > 0 for g in got.values()) >= 5
 
 
+def test_decontamination_starts_no_python_workers(spark, monkeypatch):
+    item = " ".join(f"word{i}" for i in range(9))
+    docs = spark.createDataFrame([(1, f"a {item} b"), (2, None)], "doc_id long, text string").localCheckpoint()
+    bench = spark.createDataFrame([(1, item), (2, "b")], "item_id long, text string").localCheckpoint()
+    # rows from Python go through Python workers, which stay on the executors
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(docs, bench).collect()}
+    assert got == {1: (11, 10, 2, True), 2: (0, 0, 0, False)}
+
+
 def test_decontamination_of_a_long_text(spark):
     """A document of a million words takes about as long as the same words in short documents."""
     rng = random.Random(4)
