@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Places in program order that are one window at most, so that a location with very many accesses is spread.
 BLOCK = 1 << 16
+#: Accesses from which on a domain is cut in parts for several tasks, and accesses of a task on average.
+HOT, SHARE = 1 << 15, 100_000
 
 
 def writes(mode: str = "mode") -> Column:
@@ -57,23 +59,90 @@ def cells_1d(log: DataFrame, domain: list[str], a: str = "a", b: str = "b", cell
     return log.where(F.col(a) < F.col(b)).join(lo, [*domain, a]).join(hi, [*domain, b]).withColumn(cell, F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1))).drop("_lo", "_hi")
 
 
-def segment_edges(log: DataFrame, domain: list[str]) -> DataFrame:
+def _dealt(log: DataFrame, domain: list[str], axes: list[tuple[str, str]], hot: int = HOT) -> DataFrame:
+    """Accesses by domain, one shuffle of the log alone; ``_b`` is the part of a domain, one task works on a part.
+
+    A domain with more than ``hot`` accesses is cut in 16 parts along one axis or 8 x 8 along two, at begins that it
+    has, so no cut is new. An access is in each part that it meets, clipped to it. A part of 100,000 accesses is the
+    mean size of a task's share; the log is counted for that.
+    """
+    spark = log.sparkSession
+    log = log.where(" and ".join(f"{c} is not null" for c in domain)).where(" and ".join(f"{a} < {b}" for a, b in axes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + log.count() // SHARE)
+    many = log.groupBy(*domain).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*domain)
+    k = 16 if len(axes) == 1 else 8
+    at = F.array(*(F.lit(i / k) for i in range(1, k)))
+    bounds = log.join(F.broadcast(many), domain, "left_semi").groupBy(*domain).agg(*(F.array_distinct(F.percentile_approx(a, at)).alias(f"_{a}") for a, _ in axes))
+    out = log.join(F.broadcast(bounds), domain, "left").withColumn("_b", F.lit(0).cast("long"))
+    for a, b in axes:
+        cut = F.col(f"_{a}")
+        first = F.size(F.filter(cut, lambda x: x <= F.col(a)))  # noqa: B023
+        last = F.size(F.filter(cut, lambda x: x < F.col(b)))  # noqa: B023
+        out = out.withColumn("_i", F.explode(F.when(cut.isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, last))))
+        low, high = F.get(cut, F.col("_i") - 1), F.get(cut, F.col("_i"))
+        out = out.withColumns({a: F.greatest(a, low), b: F.least(b, high), "_b": F.col("_b") * k + F.col("_i")}).drop("_i", f"_{a}")
+    return out.repartition(parts, *domain, "_b")
+
+
+def cells(log: DataFrame, domain: list[str], axes: list[tuple[str, str]], hot: int = HOT) -> DataFrame:
+    """(domain, _b, c0 [, c1], seq, mode): a row for each access and cell of the grid of its part's cuts.
+
+    Only the log is shuffled (:func:`_dealt`); cuts are ranked and rows made where they are. Equal accesses are one.
+    """
+    group = [*domain, "_b"]
+    out = _dealt(log.select(*domain, "seq", "mode", *(c for axis in axes for c in axis)), domain, axes, hot)
+    for i, (a, b) in enumerate(axes):
+        columns = [c for c in out.columns if c not in (a, b)]
+        rank = F.dense_rank().over(Window.partitionBy(*group).orderBy("_x"))
+        ends = out.withColumn("_x", F.explode(F.array(a, b))).withColumn("_k", rank)
+        out = ends.groupBy(*columns, a, b).agg(F.min("_k").alias(f"_lo{i}"), F.max("_k").alias(f"_hi{i}")).drop(a, b)
+    for i in range(len(axes)):
+        out = out.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"_lo{i}"), F.col(f"_hi{i}") - 1))).drop(f"_lo{i}", f"_hi{i}")
+    return out
+
+
+def _seen(cells: DataFrame, domain: list[str], silent: bool = False) -> DataFrame:
+    """Cells with ``lw``, ``lr`` and ``nw``: the last write and read before an access and the next write after it.
+
+    With ``silent``, only accesses of exactly mode R count as reads later on.
+    """
+    spots = [c for c in cells.columns if c not in ("seq", "mode")]
+    # a hash in front decides nearly all comparisons of the sort
+    over = f"(PARTITION BY _h, {', '.join(spots)} ORDER BY seq)"
+    read = "mode = 1" if silent else "mode & 2 = 0"
+    near = {"lw": "lag(if(mode & 2 <> 0, seq, null))", "lr": f"lag(if({read}, seq, null))", "nw": "lead(if(mode & 2 <> 0, seq, null))"}
+    return cells.withColumn("_h", F.xxhash64(*spots)).select("*", *(F.expr(f"{f} IGNORE NULLS OVER {over}").alias(c) for c, f in near.items()))
+
+
+def cell_edges(cells: DataFrame, domain: list[str], silent: bool = False) -> DataFrame:
+    """(domain, pred, succ, kind) of each cell as of :func:`handle_edges`, from one sorted pass and without a join.
+
+    A read names the writes next to it on both sides; a write names the last one if no read is between.
+    """
+    read = "mode = 1" if silent else "mode & 2 = 0"
+    raw = "if(mode & 2 = 0, lw, null)"
+    war = f"if({read}, nw, null)"
+    waw = "if(mode & 2 <> 0 and (lr is null or lr < lw), lw, null)"
+    each = F.expr(f"explode(array(struct(coalesce({raw}, {waw}) as pred, seq as succ, if(mode & 2 = 0, 0, 2) as k), struct(if({war} is null, null, seq) as pred, {war} as succ, 1 as k)))")
+    return _seen(cells, domain, silent).select(*domain, each.alias("_e")).select(*domain, "_e.*").where("pred is not null and pred <> succ")
+
+
+def _once(edges: DataFrame, domain: list[str]) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("RAW"), F.lit("WAR"), F.lit("WAW")), F.col("k") + 1)
+    return edges.distinct().select(*domain, "pred", "succ", kind.alias("kind"))
+
+
+def segment_edges(log: DataFrame, domain: list[str], hot: int = HOT) -> DataFrame:
     """Edges of accesses to intervals [a, b): those of each elementary interval, once."""
-    return handle_edges(cells_1d(log, domain), [*domain, "cell"]).select(*domain, "pred", "succ", "kind").distinct()
+    return _once(cell_edges(cells(log, domain, [("a", "b")], hot), domain), domain)
 
 
-def rect_edges(log: DataFrame, domain: list[str]) -> DataFrame:
+def rect_edges(log: DataFrame, domain: list[str], hot: int = HOT) -> DataFrame:
     """Edges of accesses to rectangles [x0, x1) x [y0, y1): those of each cell of the grid of all cuts, once.
 
     Only accesses of exactly mode R count as reads later on; other modes without W leave no trace.
     """
-    grid = cells_1d(cells_1d(log, domain, "x0", "x1", "cx"), domain, "y0", "y1", "cy")
-    kept = grid.where((F.col("mode") == 1) | writes())
-    edges = handle_edges(kept.select(*domain, "cx", "cy", "seq", "mode").distinct(), [*domain, "cx", "cy"])
-    silent = grid.where((F.col("mode") != 1) & ~writes())
-    late = epochs(grid.select(*domain, "cx", "cy", "seq", "mode").distinct(), [*domain, "cx", "cy"])
-    late = late.join(silent.select(*domain, "cx", "cy", "seq"), [*domain, "cx", "cy", "seq"], "left_semi").where("lw is not null")
-    return edges.select(*domain, "pred", "succ", "kind").union(late.select(*domain, F.col("lw").alias("pred"), F.col("seq").alias("succ"), F.lit("RAW").alias("kind"))).distinct()
+    return _once(cell_edges(cells(log, domain, [("x0", "x1"), ("y0", "y1")], hot), domain, silent=True), domain)
 
 
 def phases(log: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
@@ -128,7 +197,7 @@ def dedupe(edges: DataFrame, key: list[str]) -> DataFrame:
     return edges.groupBy(*key, "pred", "succ").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("set_edges"), F.sum(F.col("n") - 1).alias("skipped"))
 
 
-def conflicting_writers(log: DataFrame, domain: list[str]) -> DataFrame:
+def conflicting_writers(log: DataFrame, domain: list[str], hot: int = HOT) -> DataFrame:
     """(domain, reader, writer) of the last writes that a read's elementary intervals have."""
-    e = epochs(cells_1d(log, domain).select(*domain, "cell", "seq", "mode"), [*domain, "cell"])
+    e = _seen(cells(log, domain, [("a", "b")], hot), domain)
     return e.where(~writes() & F.col("lw").isNotNull()).select(*domain, F.col("seq").alias("reader"), F.col("lw").alias("writer")).distinct()

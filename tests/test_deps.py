@@ -102,3 +102,32 @@ def test_virtual_reads_leave_no_trace_in_matrices(spark):
     cols = "domain_id long, seq long, mode int, x0 long, x1 long, y0 long, y1 long"
     log = spark.createDataFrame([(0, 0, 2, 0, 4, 0, 4), (0, 1, 5, 0, 4, 0, 4), (0, 2, 2, 0, 4, 0, 4)], cols)
     assert edges(deps.rect_edges(log, ["domain_id"])) == {(0, 1, "RAW"), (0, 2, "WAW")}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hot", [1, 20, 1 << 15])
+def test_rects_in_parts_and_cells_that_are_not_shuffled(spark, hot):
+    rng = random.Random(hot)
+    rects = [(d, i, rng.choice([1, 1, 2, 5]), x := rng.randrange(20), x + rng.randrange(0, 6), y := rng.randrange(20), y + rng.randrange(1, 6)) for i in range(60) for d in (0, 1)]
+    expected = set()
+    for d, cx, cy in ((d, cx, cy) for d in (0, 1) for cx in range(26) for cy in range(26)):
+        here = [(s, m) for dd, s, m, x0, x1, y0, y1 in rects if dd == d and x0 <= cx < x1 and y0 <= cy < y1]
+        expected |= {(d, *e) for e in simulate([(s, m) for s, m in here if m != 5])}
+        for s, m in here:
+            before = [t for t, n in here if n == 2 and t < s]
+            expected |= {(d, before[-1], s, "RAW")} if m == 5 and before else set()
+    got = deps.rect_edges(spark.createDataFrame(rects, "domain_id long, seq long, mode int, x0 long, x1 long, y0 long, y1 long"), ["domain_id"], hot=hot)
+    assert {(r.domain_id, r.pred, r.succ, r.kind) for r in got.collect()} == expected
+    assert "SortMergeJoin" not in plan(got)
+
+
+def test_tiles_and_segments_of_one_matrix_take_one_shuffle_of_the_log(spark):
+    import __spark_entry__ as entry
+
+    p = plan(entry.queries()["dep_cross"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" not in p
+    # the log by part, a count and the bounds of large domains, the distinct edges
+    assert p.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 5
