@@ -139,3 +139,20 @@ def test_tiles_of_a_matrix_take_one_shuffle_of_the_log(spark):
     p = plan(entry.queries()["dep_matrix"](spark, "/root/testdata/sf0.001"))
     assert "SortMergeJoin" not in p
     assert p.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 5
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 15])
+def test_segments_in_parts(spark, hot):
+    rng = random.Random(hot)
+    segs = [(0, i, rng.choice([1, 1, 2]), a := rng.randrange(90), a + rng.randrange(0, 25)) for i in range(80)]
+    log = spark.createDataFrame(segs, "domain_id long, seq long, mode int, a long, b long")
+    cuts = sorted({c for s in segs for c in s[3:] if s[3] < s[4]})
+    cells = [simulate([(s, m) for _, s, m, a, b in segs if a <= c < b]) for c in cuts]
+    expected = set().union(*cells)
+    got = deps.segment_edges(log, ["domain_id"], hot=hot)
+    assert edges(got) == expected
+    assert "SortMergeJoin" not in plan(got)
+    found = {(r.reader, r.writer) for r in deps.conflicting_writers(log, ["domain_id"], hot=hot).collect()}
+    assert found == {(s, p) for p, s, k in expected if k == "RAW"}
+    counted = deps.dedupe(deps.cell_edges(deps.cells(log, ["domain_id"], [("a", "b")], hot), ["domain_id"]), ["domain_id"]).collect()
+    assert [(r.set_edges, r.skipped) for r in counted] == [(len({e[:2] for e in expected}), sum(map(len, cells)) - len({e[:2] for e in expected}))]
