@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -58,6 +59,67 @@ def levels(tasks: DataFrame, edges: DataFrame, every: int = 8) -> DataFrame:
     return done.groupBy("task").agg(F.max("level").alias("level"))
 
 
+def levels_within(tasks: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, task, level) as of :func:`levels`, of a graph whose edges stay within groups of tasks.
+
+    Both tables have the group's columns ``key``. Rows are shuffled by group once and each group is walked where it
+    is, so there are no rounds over the whole graph; a group has to fit into a task's memory. Tasks that only edges
+    name have a level too. The graph has no cycle.
+    """
+    name = tasks.schema["task"].dataType
+    rows = tasks.select(*key, "task", F.lit(None).cast(name).alias("pred")).unionByName(edges.select(*key, F.col("succ").alias("task"), "pred"))
+    spark = tasks.sparkSession
+    # a number of its own, so that small rows are not merged into few tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = StructType([tasks.schema[k] for k in key] + [StructField("task", name), StructField("level", LongType())])
+    return rows.repartition(parts, *key).mapInArrow(_walk, columns)
+
+
+def _walk(batches):
+    """Levels of all groups of a partition at once: round by round, those whose predecessors are all done."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    batches = list(batches)
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches)
+    del batches
+    keys = rows.column_names[:-2]
+    n_rows = rows.num_rows
+    wide = [pa.large_string() if pa.types.is_string(c.type) else c.type for c in (rows["task"], rows["pred"])]
+    both = pa.chunked_array(rows["task"].cast(wide[0]).chunks + rows["pred"].cast(wide[1]).chunks).combine_chunks().dictionary_encode()
+    code = pc.fill_null(both.indices, -1).to_numpy()
+    succ, pred = code[:n_rows], code[n_rows:]
+    n = len(both.dictionary)
+    first = np.full(n, -1, np.int64)
+    # the row that lends a task its group: any of its own, or of an edge out of it
+    out_of = np.flatnonzero(pred >= 0)
+    first[pred[out_of]] = out_of
+    first[succ] = np.arange(n_rows)
+    order = out_of[np.argsort(pred[out_of], kind="stable")]
+    target = succ[order]
+    start = np.searchsorted(pred[order], np.arange(n + 1))
+    waits = np.bincount(target, minlength=n)
+    level = np.full(n, -1, np.int64)
+    front, depth = np.flatnonzero(waits == 0), 0
+    while len(front):
+        level[front] = depth
+        size = start[front + 1] - start[front]
+        at = np.repeat(start[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        reached, times = np.unique(target[at], return_counts=True)
+        waits[reached] -= times
+        front, depth = reached[waits[reached] == 0], depth + 1
+    if (level < 0).any():
+        raise ValueError("the graph has a cycle")
+    step = 1 << 16
+    for i in range(0, n, step):
+        own = pa.array(first[i : i + step])
+        columns = [rows[k].take(own).combine_chunks() for k in keys] + [both.dictionary[i : i + step].cast(rows["task"].type), pa.array(level[i : i + step])]
+        yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=[*keys, "task", "level"])
+
+
 def descendants(tasks: DataFrame, parent: str = "parent") -> DataFrame:
     """(task, children, descendants) of a forest of (task, parent): whom a wait and a task group wait for.
 

@@ -94,6 +94,20 @@ def test_graph_of_a_chain(spark):
     assert sorted((r.task, r.idx) for r in graph.reachable(tasks, edges).collect()) == [(i, i) for i in range(8)]
 
 
+def test_levels_within_groups(spark):
+    rng = random.Random(3)
+    edges = [(g, f"{g}.{a}", f"{g}.{b}") for g in range(5) for a in range(40) for b in rng.sample(range(40), 3) if a < b]
+    tasks = [(g, f"{g}.{a}") for g in range(5) for a in range(40)]
+    level = {t: 0 for _, t in tasks}
+    for g, a, b in sorted(edges, key=lambda e: int(e[1].split(".")[1])):
+        level[b] = max(level[b], level[a] + 1)
+    some = spark.createDataFrame(tasks, "key long, task string"), spark.createDataFrame(edges + edges[:9], "key long, pred string, succ string")
+    got = graph.levels_within(*some, ["key"]).collect()
+    assert {(r.key, r.task, r.level) for r in got} == {(int(t.split(".")[0]), t, n) for t, n in level.items()}
+    assert len(got) == 200
+    assert graph.levels_within(some[0].limit(0), some[1].limit(0), ["key"]).count() == 0
+
+
 def test_task_group(spark):
     rows = [(0, None)] + [(i, 0) for i in range(1, 65)] + [(64 + i, i) for i in range(1, 65)]
     got = {r.task: (r.children, r.descendants) for r in graph.descendants(spark.createDataFrame(rows, "task long, parent long")).collect()}
