@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from taskloom.operators.deps import cells_1d
 
-
 def area(p: str = "") -> Column:
     return (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
 
@@ -41,20 +40,30 @@ def distance(p: str, q: str) -> list[Column]:
     return [(F.col(f"{q}x0") - F.col(f"{p}x0")).alias("dx"), (F.col(f"{q}y0") - F.col(f"{p}y0")).alias("dy")]
 
 
-def overlap(left: DataFrame, right: DataFrame, key: list[str], wx: int, wy: int) -> DataFrame:
+def overlap(left: DataFrame, right: DataFrame, key: list[str], wx: int, wy: int, most: int = 1000) -> DataFrame:
     """(key, l_id, r_id and both rectangles) of intersecting rectangles, by grid cells of wx x wy and the key.
 
-    A pair is reported in the cell of the lower corner of its common part only.
+    A pair is reported in the cell of the lower corner of its common part only. Equal rectangles are compared once, in
+    lists of up to ``most`` ids; the pairs of ids are made after the comparison, by whom it met.
     """
 
     def spread(df: DataFrame, p: str) -> DataFrame:
         named = df.where(~is_empty()).select(*key, *(F.col(c).alias(p + c) for c in ("id", "x0", "x1", "y0", "y1")))
+        shape = [*key, *(p + c for c in ("x0", "x1", "y0", "y1"))]
+        named = named.groupBy(*shape).agg(F.collect_list(p + "id").alias("_ids"))
+        lists = F.transform(F.sequence(F.lit(0), F.floor((F.size("_ids") - 1) / most).cast("int")), lambda i: F.slice("_ids", i * most + 1, most))
+        named = named.select(*shape, F.explode(lists).alias(p + "ids"))
         cells = named.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(f"{p}x0") / wx), F.floor((F.col(f"{p}x1") - 1) / wx))))
-        return cells.withColumn("_cy", F.explode(F.sequence(F.floor(F.col(f"{p}y0") / wy), F.floor((F.col(f"{p}y1") - 1) / wy))))
+        cells = cells.withColumn("_cy", F.explode(F.sequence(F.floor(F.col(f"{p}y0") / wy), F.floor((F.col(f"{p}y1") - 1) / wy))))
+        # a number of partitions of its own: few bytes become many pairs, so they must not be merged by size
+        return cells.repartition(parts, *key, "_cx", "_cy")
 
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = spread(left, "l_").join(spread(right, "r_"), [*key, "_cx", "_cy"])
     own = (F.floor(F.greatest("l_x0", "r_x0") / wx) == F.col("_cx")) & (F.floor(F.greatest("l_y0", "r_y0") / wy) == F.col("_cy"))
-    return both.where(intersects("l_", "r_") & own).drop("_cx", "_cy")
+    sides = [f"{p}{c}" for p in ("l_", "r_") for c in ("x0", "x1", "y0", "y1")]
+    met = both.where(intersects("l_", "r_") & own).select(*key, "l_ids", "r_ids", *sides)
+    return met.withColumn("l_id", F.explode("l_ids")).drop("l_ids").withColumn("r_id", F.explode("r_ids")).drop("r_ids")
 
 
 def partite(rows: DataFrame, key: list[str]) -> DataFrame:

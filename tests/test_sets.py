@@ -41,6 +41,17 @@ def test_overlap_counts_each_pair_once(spark):
     assert got == sorted((x[1], y[1]) for x in rows for y in rows if x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3])
 
 
+@pytest.mark.parametrize("most", [2, 1000])
+def test_equal_rectangles_are_compared_once(spark, most):
+    rng = random.Random(most)
+    rows = [("p", i, x := rng.randrange(6), x + rng.randrange(0, 9), y := rng.randrange(6), y + 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "plane string, id long, x0 long, x1 long, y0 long, y1 long")
+    got = rects.overlap(df, df, ["plane"], 4, 2, most=most).collect()
+    full = [r for r in rows if r[2] < r[3]]
+    assert sorted((r.l_id, r.r_id) for r in got) == sorted((a[1], b[1]) for a in full for b in full if a[2] < b[3] and b[2] < a[3] and a[4] < b[5] and b[4] < a[5])
+    assert all((r.l_x0, r.l_x1, r.r_y0) == (rows[r.l_id][2], rows[r.l_id][3], rows[r.r_id][4]) for r in got)
+
+
 def test_tiles_cover_the_union(spark):
     tiles = [(0, i * s, i * s + s, j * s, j * s + s) for s, k in ((15, 4), (10, 6)) for i in range(k) for j in range(k)]
     got = rects.partite(spark.createDataFrame(tiles, "key long, x0 long, x1 long, y0 long, y1 long"), ["key"]).collect()
