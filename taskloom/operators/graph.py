@@ -177,6 +177,15 @@ def lower(commands: DataFrame, tasks: DataFrame, edges: DataFrame) -> tuple[Data
     between a begin and an end node, on the device of the task's first command. Tasks without commands have no
     node; their predecessors are bridged to their successors. ``entry`` and ``exit`` close the graph.
     """
+    nodes, links, opening, closing = lower_parts(commands, edges)
+    gates = commands.sparkSession.range(1).select(F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("node"), F.lit("EMPTY").alias("kind"), F.lit(None).cast("long").alias("task"), F.lit(None).cast("int").alias("device"))
+    return nodes.unionByName(gates), links.select("src", "dst").unionByName(opening).unionByName(closing)
+
+
+def lower_parts(commands: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The nodes and edges of :func:`lower` without the gates, the edges with the ``task`` they lead into or are in;
+    and the edges from ``entry`` and to ``exit``. These are of tasks that no edge between tasks enters or leaves.
+    """
     name = F.concat(F.lit("c"), F.col("command").cast("string"))
     first = commands.groupBy("task").agg(F.min_by("device", F.struct("stage", "command")).alias("bar"))
     blocks = commands.groupBy("task", "stage").agg(F.count("*").alias("n"), F.min(name).alias("only")).join(first, "task")
@@ -186,19 +195,20 @@ def lower(commands: DataFrame, tasks: DataFrame, edges: DataFrame) -> tuple[Data
     many = blocks.where("n > 1")
     nodes = commands.select(name.alias("node"), F.lit("COMMAND").alias("kind"), "task", "device")
     nodes = nodes.unionByName(many.select(F.explode(F.array("i", "o")).alias("node"), F.lit("EMPTY").alias("kind"), "task", F.col("bar").alias("device")))
-    inner = commands.select("task", "stage", name.alias("c")).join(many, ["task", "stage"])
-    links = inner.select(F.col("i").alias("src"), F.col("c").alias("dst")).unionByName(inner.select(F.col("c").alias("src"), F.col("o").alias("dst")))
+    inner = commands.select("task", "stage", name.alias("c")).join(many, ["task", "stage"]).select("task", "stage", "c", "i", "o").distinct()
+    pair = F.explode(F.array(F.struct(F.col("i").alias("src"), F.col("c").alias("dst")), F.struct(F.col("c").alias("src"), F.col("o").alias("dst"))))
+    links = inner.select("task", pair.alias("_p")).select("task", "_p.*")
 
     order = Window.partitionBy("task").orderBy("stage")  # three rows at most
-    links = links.unionByName(blocks.select(F.lag("o").over(order).alias("src"), F.col("i").alias("dst")).where("src is not null"))
+    links = links.unionByName(blocks.select("task", F.lag("o").over(order).alias("src"), F.col("i").alias("dst")).where("src is not null"))
     ends = _checkpoint(blocks.groupBy("task").agg(F.min_by("i", "stage").alias("i"), F.max_by("o", "stage").alias("o")))
     bridged = _bridge(edges, ends)
-    between = bridged.join(ends.select(F.col("task").alias("pred"), F.col("o").alias("src")), "pred").join(ends.select(F.col("task").alias("succ"), F.col("i").alias("dst")), "succ").select("src", "dst").where("src <> dst")
-    links = _checkpoint(links.unionByName(between).distinct())
-    opening = ends.select(F.lit("entry").alias("src"), F.col("i").alias("dst")).join(links.select("dst"), "dst", "left_anti").select("src", "dst")
-    closing = ends.select(F.col("o").alias("src"), F.lit("exit").alias("dst")).join(links.select("src"), "src", "left_anti").select("src", "dst")
-    gates = commands.sparkSession.range(1).select(F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("node"), F.lit("EMPTY").alias("kind"), F.lit(None).cast("long").alias("task"), F.lit(None).cast("int").alias("device"))
-    return nodes.unionByName(gates), links.unionByName(opening).unionByName(closing)
+    between = bridged.join(ends.select(F.col("task").alias("pred"), F.col("o").alias("src")), "pred").join(ends.select(F.col("task").alias("succ"), F.col("i").alias("dst")), "succ").where("src <> dst")
+    between = _checkpoint(between.select("pred", "succ", "src", "dst"))
+    links = links.unionByName(between.select(F.col("succ").alias("task"), "src", "dst"))
+    opening = ends.join(between.select(F.col("succ").alias("task")), "task", "left_anti").select(F.lit("entry").alias("src"), F.col("i").alias("dst"))
+    closing = ends.join(between.select(F.col("pred").alias("task")), "task", "left_anti").select(F.col("o").alias("src"), F.lit("exit").alias("dst"))
+    return nodes, links, opening, closing
 
 
 def _bridge(edges: DataFrame, ends: DataFrame) -> DataFrame:
@@ -206,7 +216,7 @@ def _bridge(edges: DataFrame, ends: DataFrame) -> DataFrame:
     have = ends.select("task")
     edges = _checkpoint(edges.select("pred", "succ").distinct())
     out = edges.join(have.withColumnRenamed("task", "pred"), "pred", "left_semi")
-    late = edges.join(have.withColumnRenamed("task", "pred"), "pred", "left_anti")  # from a task without commands
+    late = _checkpoint(edges.join(have.withColumnRenamed("task", "pred"), "pred", "left_anti"))  # from a task without commands
     ready = out.join(have.withColumnRenamed("task", "succ"), "succ", "left_semi").select("pred", "succ")
     open_ = _checkpoint(out.join(have.withColumnRenamed("task", "succ"), "succ", "left_anti").select("pred", "succ"))
     while not open_.isEmpty():

@@ -119,6 +119,14 @@ def test_levels_within_groups(spark):
     assert graph.levels_within(some[0].limit(0), some[1].limit(0), ["key"]).count() == 0
 
 
+def test_replay_takes_no_round_for_a_level(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["cg_replay"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.where("level = 0").count() == 1
+
+
 def test_task_group(spark):
     rows = [(0, None)] + [(i, 0) for i in range(1, 65)] + [(64 + i, i) for i in range(1, 65)]
     got = {r.task: (r.children, r.descendants) for r in graph.descendants(spark.createDataFrame(rows, "task long, parent long")).collect()}
