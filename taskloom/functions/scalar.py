@@ -52,16 +52,16 @@ def _format(x: Column, step: int, units: tuple[str, ...], after: str) -> Column:
     return out
 
 
-def format_bytes(x: Column) -> Column:
-    return _format(x, 1024, BYTE_UNITS, "")
+def format_bytes(x: Column, units: tuple[str, ...] = BYTE_UNITS) -> Column:
+    return _format(x, 1024, units, "")
 
 
 def format_time(ns: Column) -> Column:
     return _format(ns, 1000, TIME_UNITS, "")
 
 
-def format_bandwidth(x: Column) -> Column:
-    return _format(x, 1024, BYTE_UNITS, "/s")
+def format_bandwidth(x: Column, units: tuple[str, ...] = BYTE_UNITS) -> Column:
+    return _format(x, 1024, units, "/s")
 
 
 def parse_drivers(df: DataFrame, text: str) -> DataFrame:

@@ -127,6 +127,14 @@ def test_replay_takes_no_round_for_a_level(spark):
     assert df.where("level = 0").count() == 1
 
 
+def test_fmt_units_ends_at_terabytes_as_its_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(0, 128657), (1, 5)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.bytes, r.bandwidth) for r in entry.queries()["fmt_units"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("1936.87TB", "1936.87TB/s"), 1: ("125.00B", "125.00B/s")}
+
+
 def test_task_group(spark):
     rows = [(0, None)] + [(i, 0) for i in range(1, 65)] + [(64 + i, i) for i in range(1, 65)]
     got = {r.task: (r.children, r.descendants) for r in graph.descendants(spark.createDataFrame(rows, "task long, parent long")).collect()}
