@@ -68,7 +68,7 @@ def dep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CELLS}, {edges_sql('cells', ['domain_id', 'cell'])}
 SELECT domain_id, count(*) AS set_edges, CAST(sum(n - 1) AS BIGINT) AS skipped FROM (SELECT domain_id, pred, succ, count(*) AS n FROM edges GROUP BY ALL) GROUP BY domain_id""")
 def dep_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = deps.handle_edges(deps.cells_1d(logs.segments(spark, sf_dir), ["domain_id"]), ["domain_id", "cell"])
+    edges = deps.cell_edges(deps.cells(logs.segments(spark, sf_dir), ["domain_id"], [("a", "b")]), ["domain_id"])
     return deps.dedupe(edges, ["domain_id"])
 
 

@@ -156,3 +156,9 @@ def test_segments_in_parts(spark, hot):
     assert found == {(s, p) for p, s, k in expected if k == "RAW"}
     counted = deps.dedupe(deps.cell_edges(deps.cells(log, ["domain_id"], [("a", "b")], hot), ["domain_id"]), ["domain_id"]).collect()
     assert [(r.set_edges, r.skipped) for r in counted] == [(len({e[:2] for e in expected}), sum(map(len, cells)) - len({e[:2] for e in expected}))]
+
+
+def test_dedupe_counts_edges_where_the_log_is(spark):
+    import __spark_entry__ as entry
+
+    assert "SortMergeJoin" not in plan(entry.queries()["dep_dedupe"](spark, "/root/testdata/sf0.001"))
