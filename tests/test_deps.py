@@ -162,3 +162,9 @@ def test_dedupe_counts_edges_where_the_log_is(spark):
     import __spark_entry__ as entry
 
     assert "SortMergeJoin" not in plan(entry.queries()["dep_dedupe"](spark, "/root/testdata/sf0.001"))
+
+
+def test_segments_take_one_shuffle_of_the_log(spark):
+    import __spark_entry__ as entry
+
+    assert "SortMergeJoin" not in plan(entry.queries()["dep_segment"](spark, "/root/testdata/sf0.001"))
